@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Of one Arrow batch.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 4096
 #: ASCII white space, as the word and line contracts of this package have it.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -37,8 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, so that a worker's memory doesn't follow the length of texts. Smaller settings stay."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for functions of one batch. make() runs once a task and returns the function; this returns columns by name."""
+    small_batches(df.sparkSession)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
