@@ -5,7 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Module, query and, if SQL can express it, the name of its text.
-QUERIES = [("line_dedup", "op9_line_dedup", "SQL")]
+QUERIES = [
+    ("line_dedup", "op9_line_dedup", "SQL"),
+    ("decontaminate", "op3_benchmark_decontamination", "SQL"),
+]
 
 
 def queries() -> dict:
