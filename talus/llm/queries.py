@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module, query and, if SQL can express it, the name of its text.
 QUERIES = [
     ("line_dedup", "op9_line_dedup", "SQL"),
+    ("bpe", "op7_bpe", None),
     ("decontaminate", "op3_benchmark_decontamination", "SQL"),
 ]
 
