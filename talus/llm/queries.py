@@ -7,6 +7,8 @@ from importlib import import_module
 #: Module, query and, if SQL can express it, the name of its text.
 QUERIES = [
     ("line_dedup", "op9_line_dedup", "SQL"),
+    ("token_blocks", "op1_token_blocks", None),
+    ("quality", "op8_quality_classifier", None),
     ("bpe", "op7_bpe", None),
     ("decontaminate", "op3_benchmark_decontamination", "SQL"),
 ]
