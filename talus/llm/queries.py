@@ -9,6 +9,7 @@ QUERIES = [
     ("line_dedup", "op9_line_dedup", "SQL"),
     ("token_blocks", "op1_token_blocks", None),
     ("quality", "op8_quality_classifier", None),
+    ("substring_dedup", "op4_substring_dedup", "SQL"),
     ("bpe", "op7_bpe", None),
     ("decontaminate", "op3_benchmark_decontamination", "SQL"),
 ]
