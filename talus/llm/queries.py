@@ -10,6 +10,7 @@ QUERIES = [
     ("token_blocks", "op1_token_blocks", None),
     ("quality", "op8_quality_classifier", None),
     ("substring_dedup", "op4_substring_dedup", "SQL"),
+    ("near_dedup", "op10_near_dedup", None),
     ("bpe", "op7_bpe", None),
     ("decontaminate", "op3_benchmark_decontamination", "SQL"),
 ]
