@@ -11,6 +11,8 @@ QUERIES = [
     ("quality", "op8_quality_classifier", None),
     ("substring_dedup", "op4_substring_dedup", "SQL"),
     ("near_dedup", "op10_near_dedup", None),
+    ("merkle", "op2_fingerprints", "SQL"),
+    ("preferences", "op6_preference_format", "SQL"),
     ("bpe", "op7_bpe", None),
     ("decontaminate", "op3_benchmark_decontamination", "SQL"),
 ]
