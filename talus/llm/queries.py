@@ -13,6 +13,7 @@ QUERIES = [
     ("near_dedup", "op10_near_dedup", None),
     ("merkle", "op2_fingerprints", "SQL"),
     ("preferences", "op6_preference_format", "SQL"),
+    ("pii", "op5_pii", None),
     ("bpe", "op7_bpe", None),
     ("decontaminate", "op3_benchmark_decontamination", "SQL"),
 ]

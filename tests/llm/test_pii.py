@@ -1,0 +1,83 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from talus.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            double = [d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits[::-1])]
+            if kind == "ip":
+                ok = all(int(x) <= 255 for x in m[0].split("."))
+            elif kind == "card":
+                ok = 16 <= len(digits) <= 19 and sum(double) % 10 == 0
+            else:
+                ok = kind == "email" or 8 <= len(digits) <= 15
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab1250.@-+ ()é")), max_size=40))
+def test_base_like_the_patterns(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_known_spans():
+    text = "mail é.a.b+c@x-y.example.com, 192.168.0.255 999.1.1.1 and 4111 1111 1111 1111 +1 (437) 555-0689"
+    assert [(k, text[s:e]) for k, s, e in pii.base_spans(text)] == [("email", ".a.b+c@x-y.example.com"), ("ip", "192.168.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (437) 555-0689")]
+
+
+def test_long_texts_stay_linear():
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "@" * 100_000, "1." * 100_000, "+1" + "(" * 200_000, "1 " * 100_000):
+        pii.spans(text, pii.selector())
+
+
+def test_further_kinds():
+    s = pii.selector()
+    text = 'then token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" and on'
+    assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text, s)] == [("secret", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce")]
+    for text in ("thonble anding of the erntithereathanding on 4", "on 2024-10-11 it was", "a b c 12"):
+        assert pii.spans(text, s) == []
+    x, y = pii.examples(600, 99)
+    assert ((s.scores(x) >= 0.5) == y).mean() > 0.9
+
+
+def test_redact():
+    assert pii.redact("a b@c.d e", [("email", 2, 7)]) == "a [EMAIL] e"
+    assert pii.redact("0123456789", [("card", 2, 8), ("phone", 4, 9)]) == "01[CARD]9"
+
+
+def test_query_form(spark):
+    rows = [(0, None, "x"), (1, "", "x"), (2, "a@b.co 10.0.0.1", "x"), (2, "a@b.co 10.0.0.1", "x"), (None, "+1 555 123 4567", "x")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string, pii string"))
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.pii] for r in found.collect()}
+    assert got == {0: [], 1: [], 2: [("email", 0, 6), ("ip", 7, 15)], None: [("phone", 0, 15)]}
+    assert found.count() == 5 and found.limit(0).count() == 0
+
+
+def test_query_digests(spark):
+    import os
+
+    import pytest
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.exists(d):
+        pytest.skip("no test data")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in pii.op5_pii(spark, d).collect():
+        base = plain(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in PATTERNS]
