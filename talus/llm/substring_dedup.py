@@ -96,7 +96,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     docs = docs.filter(F.col("doc_id").isNotNull())
     seen = occurrences(docs, window, k)
     edges = seen.groupBy("edge").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("doc_id").alias("least"), F.max("doc_id").alias("d1")).filter(F.col("least") < F.col("d1"))
-    edges = edges.select("edge", "least", (F.col("p0") != F.col("p1")).alias("branches"))
+    # written, so that both sides of the join are dealt anew and a hot edge's occurrences can be split
+    edges = written(edges.select("edge", "least", (F.col("p0") != F.col("p1")).alias("branches")), "substring-edges")
     # what repeats: the occurrences on edges of two documents or more
     repeats = written(seen.join(edges, "edge"), "substring-repeats")
     split = repeats.filter("branches").groupBy("edge", "path").agg(F.min("doc_id").alias("own"))
