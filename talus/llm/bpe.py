@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import extend, table, tidy
 
 SCAN_PARTS = 64
-CACHE = 300_000
+CACHE = 500_000
 _NONE = 1 << 40
 #: White_Space of Unicode; Python's isspace() has four more.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -65,6 +66,7 @@ class Bpe:
         self.ranks = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in reversed([*enumerate(pairs)])}
         self.made = [vocab[a + b] for a, b in pairs]
         self.cache: dict[str, bytes] = {}
+        self.ends = {c: array("i", self.word(c)).tobytes() for c in ".,"}
 
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
@@ -102,7 +104,12 @@ class Bpe:
         return [p for p in parts if p >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        out = np.array([i for w in self.pattern.findall(piece) for i in self.word(w)], "<i4").tobytes()
+        if len(piece) > 1 and piece[-1] in ".," and piece[:-1].isalpha() and (known := self.cache.get(piece[:-1])):
+            out = known + self.ends[piece[-1]]
+        elif piece.isascii() and piece.isalpha():
+            out = array("i", self.word(piece)).tobytes()
+        else:
+            out = array("i", [i for w in self.pattern.findall(piece) for i in self.word(w)]).tobytes()
         if len(piece) <= 64:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
@@ -127,6 +134,17 @@ class Bpe:
         return " ".join([t for t in map(get, ids) if t is not None])
 
 
+_made: dict[str, Bpe] = {}
+
+
+def bpe_of(text: str) -> Bpe:
+    """One for all tasks of a worker, so that its pieces are known to the next task."""
+    if text not in _made:
+        _made.clear()
+        _made[text] = Bpe(text)
+    return _made[text]
+
+
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """docs with ids array<int>."""
     docs = tidy(docs)
@@ -134,7 +152,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        bpe = Bpe(shipped.value)
+        bpe = bpe_of(shipped.value)
 
         def f(batch: pa.RecordBatch) -> dict[str, list]:
             parts = [bpe.encode(t) if t else b"" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
@@ -153,7 +171,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         shipped = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        bpe = Bpe(shipped.value)
+        bpe = bpe_of(shipped.value)
 
         def f(batch: pa.RecordBatch) -> dict[str, list]:
             ids = batch.column(batch.schema.get_field_index("ids"))
