@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import shared, ship, table, written  # noqa: F401  those that the operators use
+
 #: Of one Arrow batch.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
@@ -36,12 +36,9 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_BYTES at most, so that a worker's memory doesn't follow the length of texts. Smaller settings stay."""
+    ship(spark)
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         now = str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
@@ -77,23 +74,6 @@ def extend(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str
     return map_arrow(df, both, T.StructType(kept + added.fields))
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where it is unset, as in tests, one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="talus-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder. It cuts the lineage and outlives executors; whoever owns the folder clears it."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def digest(data: bytes) -> bytes:
     """128 bits: equal digests count as equal texts."""
     return hashlib.blake2b(data, digest_size=16).digest()
