@@ -34,7 +34,7 @@ BLOCK = 256
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 17
 #: Word pieces that a task keeps with their ids.
-CACHE = 300_000
+CACHE = 1_000_000
 END_ID = 0
 SEGMENT = "shard int, segment long, before long, doc_ids array<long>, ends array<long>, payload binary"
 
@@ -54,11 +54,12 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -
     k = max(0, -(-block * percentile // 100) - 1)
     widths = np.ceil(np.log2(np.partition(grid, k, axis=1)[:, k].astype(np.float64) + 1)).astype(np.uint8)
     over = (grid >> np.minimum(widths, 31)[:, None].astype(np.uint32) != 0) & (widths < 32)[:, None]
-    low = np.where(over, 0, grid).astype(">u4")
+    size = 2 if int(widths.max(initial=0)) <= 16 else 4
+    low = np.where(over, 0, grid).astype(f">u{size}")
     packed: list[bytes] = [b""] * blocks
     for w in np.unique(widths[widths > 0]).tolist():
         rows = np.flatnonzero(widths == w)
-        bits = np.unpackbits(low[rows].view(np.uint8).reshape(len(rows), block, 4), axis=2)[:, :, 32 - w :]
+        bits = np.unpackbits(low[rows].view(np.uint8).reshape(len(rows), block, size), axis=2)[:, :, 8 * size - w :]
         for r, own in zip(rows.tolist(), np.packbits(bits.reshape(len(rows), block * w), axis=1), strict=True):
             packed[r] = own.tobytes()
     at, where = np.nonzero(over)
@@ -86,7 +87,11 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     out = np.zeros((len(starts), block), np.uint32)
     for w in np.unique(heads["width"]).tolist():
         rows = np.flatnonzero(heads["width"] == w)
-        if w:
+        if 0 < w <= 17:  # a value lies in three bytes
+            bit = np.arange(block) * w
+            own = raw[np.minimum((starts[rows] + 8)[:, None] + np.arange(-(-block * w // 8) + 2), len(raw) - 1)].astype(np.uint32)
+            out[rows] = ((own[:, bit >> 3] << 16 | own[:, (bit >> 3) + 1] << 8 | own[:, (bit >> 3) + 2]) >> (24 - w - (bit & 7)).astype(np.uint32)) & ((1 << w) - 1)
+        elif w:
             bits = np.unpackbits(raw[(starts[rows] + 8)[:, None] + np.arange(-(-block * w // 8))], axis=1)[:, : block * w].reshape(len(rows), block, w)
             full = np.zeros((len(rows), block, 32), np.uint8)
             full[:, :, 32 - w :] = bits
@@ -99,7 +104,8 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 class Pieces:
     """Ids of texts by the tokenizers library, which gets each distinct piece once. A text may be cut before a space between two
-    letters of other kinds than white space: there a new piece of the byte-level pattern begins whatever stands around it."""
+    letters of other kinds than white space: there a new piece of the byte-level pattern begins whatever stands around it. So pieces that begin with
+    one space and end in a letter go to the library in long strings; their ids are told apart by the tokens that begin with a space."""
 
     _near = re.compile(r"\s \s")
     _safe = re.compile(r"(?<=\S) (?=\S)")
@@ -111,28 +117,86 @@ class Pieces:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.line = int(np.frombuffer(self._one_by_one(["\n"])[0], "<u4")[0])
+        self.marks = dict(zip(".,", self._one_by_one([".", ","]), strict=True))
         self.cache: dict[str, bytes] = {}
 
+    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of a space and each of words into the cache."""
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        odd = [w for w in words if not (w and not w[0].isspace() and not w[-1].isspace())]
+        self.cache.update(zip(odd, self._one_by_one([" " + w for w in odd]), strict=True))
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(part) or at[0]:
+                self.cache.update(zip(part, self._one_by_one([" " + w for w in part]), strict=True))
+                continue
+            raw, starts = ids.tobytes(), (4 * at).tolist()
+            self.cache.update(zip(part, [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit little-endian numbers."""
-        cut = []
-        for text in texts:
-            first, *rest = self._safe.split(text) if self._near.search(text) else text.split(" ")
-            cut.append([first, *(" " + x for x in rest)])
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = [*{p for pieces in cut for p in pieces if p not in cache}]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[piece] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([cache[p] for p in pieces]) for pieces in cut]
-        for p in new:
-            if len(p) > 64:
-                del cache[p]
+        flat, ends, heads = [], [0], []
+        for t in texts:
+            first, *rest = self._safe.split(t) if self._near.search(t) else t.split(" ")
+            heads.append(first)
+            flat += rest
+            ends.append(len(flat))
+        if len(self.cache) > CACHE:  # frequent words are among those of any batch
+            self.cache = {w: self.cache[w] for w in {*flat}.intersection(self.cache)}
+        parts = list(map(self.cache.get, flat))
+        missing = [i for i, x in enumerate(parts) if x is None]
+        new = {flat[i] for i in missing}
+        # a word with . or , after it is the word's ids and the mark's
+        marked = [w for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()]
+        self._learn([*new.difference(marked).union([w[:-1] for w in marked]).difference(self.cache)])
+        for w in marked:
+            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
+        for i in missing:
+            parts[i] = self.cache[flat[i]]
+        out = [h + b"".join(parts[i:j]) for h, i, j in zip(self._heads(heads), ends, ends[1:])]  # noqa: B905
+        for w in new:
+            if len(w) > 64 or "\n" in w:
+                self.cache.pop(w, None)
         return out
 
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of the texts' first words, which have no space before them: those of letters and marks alone go in lines."""
+        ids = self._one_by_one([h for h in heads if not h.isprintable() or not h or h.isspace()])
+        odd = iter(ids)
+        plain = [h for h in heads if h.isprintable() and h and not h.isspace()]
+        got: list[bytes] = []
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            own = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(own == self.line)
+            if len(at) != len(part) - 1:
+                got += self._one_by_one(part)
+                continue
+            raw, starts, stops = own.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(own)]
+            got += [raw[i:j] for i, j in zip(starts, stops, strict=True)]
+        even = iter(got)
+        return [next(even) if h.isprintable() and h and not h.isspace() else next(odd) for h in heads]
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces_of(tokenizer: str) -> Pieces:
+    """One for all tasks of a worker, so that its pieces are known to the next task."""
+    if tokenizer not in _pieces:
+        _pieces.clear()
+        _pieces[tokenizer] = Pieces(tokenizer)
+    return _pieces[tokenizer]
+
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, partitions: int | None = None, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """The segments of docs, a shard for each task."""
@@ -145,7 +209,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, partition
     def make():
         from pyspark import TaskContext
 
-        pieces, shard = Pieces(shipped.value), TaskContext.get().partitionId()
+        pieces, shard = pieces_of(shipped.value), TaskContext.get().partitionId()
         state = {"segment": 0, "before": 0}
         end = np.array([end_id], "<u4").tobytes()
 
