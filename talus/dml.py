@@ -99,8 +99,9 @@ class Changes:
             count = self._route(t, new)
         else:
             self._validate(t, new)
-            self._unique(t, t.df, new)
-            self.state.tables[name] = replace(t, df=self._version(t, t.df.unionByName(new)))
+            old = self._rids(t)
+            self._unique(t, old, new)
+            self.state.tables[name] = replace(t, df=self._version(t, old.unionByName(new)))
             count = new.count()
         self._fire(t, "AFTER INSERT", new)
         return e.Result(message, count, self._returning(t, new, returning))

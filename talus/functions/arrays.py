@@ -23,6 +23,8 @@ def array_cat(a, b):
 @macro("array_at")
 def array_at(a, i):
     """Null beyond either end."""
+    if i.isdigit():
+        return f"try_element_at({a}, {i})" if int(i) else "NULL"
     return f"CASE WHEN {i} >= 1 THEN try_element_at({a}, CASE WHEN {i} >= 1 THEN CAST({i} AS INT) ELSE 1 END) END"
 
 

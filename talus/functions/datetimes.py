@@ -8,7 +8,7 @@ from . import macro, text_of
 
 #: Fields whose Spark expression differs; @ is the argument.
 _FIELDS = {
-    "dow": "CAST(extract(DOW FROM @) - 1 AS DOUBLE)", "isodow": "CAST(weekday(@) + 1 AS DOUBLE)", "epoch": "unix_micros(CAST(@ AS TIMESTAMP)) / 1000000.0D", "milliseconds": "CAST(extract(SECOND FROM @) * 1000 AS DOUBLE)",
+    "dow": "CAST(extract(DOW FROM @) - 1 AS DOUBLE)", "isodow": "CAST(weekday(@) + 1 AS DOUBLE)", "epoch": "unix_micros(CAST(@ AS TIMESTAMP_LTZ)) / 1000000.0D", "milliseconds": "CAST(extract(SECOND FROM @) * 1000 AS DOUBLE)",
     "microseconds": "CAST(extract(SECOND FROM @) * 1000000 AS DOUBLE)", "second": "CAST(extract(SECOND FROM @) AS DOUBLE)",
 }
 
