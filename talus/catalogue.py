@@ -291,3 +291,20 @@ def oracle_sql() -> dict[str, str]:
 def entry(spark: SparkSession, d: str) -> DataFrame:
     configure(spark)
     return run_sql(SQL["flagship_q1"][0])(spark, d)
+
+
+@frame("stream_tumbling", "SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, d):
+    from .streaming import events as s
+
+    configure(spark)
+    source = s.read_stream(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
+    return s.run(s.windowed(source, "1 hour"), "tumbling", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@frame("window_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS f FROM events), h AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM h GROUP BY user_id, s")
+def window_sessions(spark, d):
+    from .streaming import events as s
+
+    configure(spark)
+    return s.sessions(table(spark, d, "events"), "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
