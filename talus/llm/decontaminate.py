@@ -29,7 +29,8 @@ SHARE = 20
 #: Bytes of benchmark text in one broadcast.
 SLICE_BYTES = 16 << 20
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of a text whose A-Z aren't in lower case yet.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Of UTF-8 bytes: letters, digits and what isn't ASCII stay, A-Z go to lower case, the rest becomes a space.
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
