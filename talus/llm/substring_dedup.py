@@ -100,7 +100,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     edges = written(edges.select("edge", "least", (F.col("p0") != F.col("p1")).alias("branches")), "substring-edges")
     # what repeats: the occurrences on edges of two documents or more
     repeats = written(seen.join(edges, "edge"), "substring-repeats")
-    split = repeats.filter("branches").groupBy("edge", "path").agg(F.min("doc_id").alias("own"))
+    split = written(repeats.filter("branches").groupBy("edge", "path").agg(F.min("doc_id").alias("own")), "substring-paths")
     branching = repeats.filter("branches").join(split, ["edge", "path"])
     whole = F.struct("first", (F.col("n") + F.lit(window - 1)).alias("n"))
     spans = repeats.filter("NOT branches AND least < doc_id").select("doc_id", whole.alias("span"))
@@ -109,6 +109,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     single = branching.filter("own = doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("at"))
     seen_windows = written(windows(docs.join(single, "doc_id").select("doc_id", "text", "at"), window), "substring-windows")
     oldest = seen_windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("d1")).filter(F.col("least") < F.col("d1")).drop("d1")
+    oldest = written(oldest, "substring-oldest")
     later = seen_windows.join(oldest, ["high", "low"]).filter(F.col("least") < F.col("doc_id"))
     spans = spans.unionByName(later.select("doc_id", F.struct(F.col("at").alias("first"), F.lit(window).alias("n")).alias("span")))
     return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
