@@ -46,12 +46,13 @@ def vector(text: str | None) -> list[float]:
     lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
     counts = Counter(words)
     lines = [x for x in (text or "").split("\n") if x]
-    log = lambda share: float(np.log(share + 0.003))
+    share = lambda k, n, usual, weight: float(np.log((k + weight * usual) / (n + weight) + 0.001))  # noqa: E731  a short text's shares are drawn to the usual ones
+    letter, word = lambda k, n, usual: share(k, n, usual, 100.0), lambda k, usual: share(k, len(words), usual, 30.0)
     return [
-        float(np.log1p(len(words))), float(np.log1p(lengths.mean())), float(np.log1p(lengths.std())), log(kinds[1] / letters), log(kinds[3] / shown), log((kinds[4] + kinds[7]) / shown),
-        log(kinds[5] / shown), log(kinds[6] / shown), len(counts) / n, log(max(counts.values(), default=0) / n), log(sum(a == b for a, b in zip(words, words[1:])) / n),  # noqa: B905
-        float(np.log1p(len(words) / (len(lines) or 1))), len({*lines}) / (len(lines) or 1), log(sum(w.isupper() for w in words) / n), float(np.log1p(lengths.max())),
-        log(sum(not w[-1].isalnum() for w in words) / n),
+        float(np.log1p(len(words))), float(np.log1p((lengths.sum() + 50.0) / (len(words) + 10.0))), float(np.log1p(lengths.std())), letter(kinds[1], letters, 0.03), letter(kinds[3], shown, 0.003), letter(kinds[4] + kinds[7], shown, 0.03),
+        letter(kinds[5], shown, 0.001), letter(kinds[6], shown, 0.001), float(np.log((len(counts) + 27.0) / (len(words) + 30.0))), word(max(counts.values(), default=0), 0.05), word(sum(a == b for a, b in zip(words, words[1:])), 0.005),  # noqa: B905
+        float(np.log1p((len(words) + 20.0) / (len(lines) + 1.0))), ((len({*lines}) + 5.0) / (len(lines) + 5.0)), word(sum(w.isupper() for w in words), 0.01), float(np.log1p(lengths.max())),
+        word(sum(not w[-1].isalnum() for w in words), 0.1),
     ]
 
 
