@@ -90,6 +90,14 @@ def test_types(db):
     for bad in ("INSERT INTO t VALUES ('bad', 1)", "INSERT INTO t VALUES ('ok', 0)"):
         with pytest.raises(ConstraintError):
             db.sql(bad)
+    db.sql("INSERT INTO t VALUES ('sad', 2), ('ok', 3)")
+    assert [r.m for r in db.sql("SELECT m FROM t ORDER BY t.m DESC").collect()] == ["happy", "ok", "sad"]
+    assert rows(db.sql("SELECT p FROM t WHERE m > 'sad'")) == [(1,), (3,)]
+
+
+def test_python_functions(db):
+    db.python_function("shout", lambda s: s.upper() + "!", "string")
+    assert rows(db.sql("SELECT shout('a') AS v")) == [("A!",)]
 
 
 def test_security(db):
