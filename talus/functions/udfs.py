@@ -52,6 +52,10 @@ def _text(x) -> str:
 
 
 def register(spark: SparkSession) -> None:
+    """Once for each session."""
+    if spark.catalog.functionExists("talus_json_delete_path"):
+        return
+
     @pandas_udf("boolean")
     def talus_json_contains(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else contains(json.loads(a), json.loads(b)) for a, b in zip(x, y, strict=True)], dtype=object)
@@ -65,4 +69,4 @@ def register(spark: SparkSession) -> None:
         return pd.Series([None if a is None or b is None else _text(deleted_path(json.loads(a), [*b])) for a, b in zip(x, path, strict=True)], dtype=object)
 
     for f in (talus_json_contains, talus_json_delete, talus_json_delete_path):
-        spark.udf.register(f.__name__ if hasattr(f, "__name__") else f.func.__name__, f)
+        spark.udf.register(f.__name__, f)
