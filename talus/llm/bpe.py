@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, table, tidy
+from .common import caches, extend, table, tidy
 
 SCAN_PARTS = 64
-CACHE = 500_000
+CACHE = 400_000
 _NONE = 1 << 40
 #: White_Space of Unicode; Python's isspace() has four more.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -135,6 +135,7 @@ class Bpe:
 
 
 _made: dict[str, Bpe] = {}
+caches(__name__, _made.clear)
 
 
 def bpe_of(text: str) -> Bpe:

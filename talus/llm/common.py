@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -45,18 +47,44 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def caches(owner: str, clear: Callable[[], None]) -> None:
+    """Says how to empty what a module keeps in a worker from task to task; that is done when the worker gets a task of another module."""
+    _caches[owner] = clear
+
+
+def begin(owner: str) -> None:
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
+def release() -> None:
+    """Gives a worker's free memory back to the system at the end of a task: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for functions of one batch. make() runs once a task and returns the function; this returns columns by name."""
     small_batches(df.sparkSession)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
+    owner = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         f = make()
         for batch in batches:
             if batch.num_rows:
                 columns = f(batch)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[n.name], pa.Array) else pa.array(x, n.type) for n in arrow], schema=arrow)
+        del f
+        release()
 
     return df.mapInArrow(run, kind)
 
@@ -71,6 +99,7 @@ def extend(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str
         f = make()
         return lambda batch: {k.name: batch.column(batch.schema.get_field_index(k.name)) for k in kept} | f(batch)
 
+    both.__module__ = make.__module__
     return map_arrow(df, both, T.StructType(kept + added.fields))
 
 

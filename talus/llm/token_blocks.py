@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, shared, table
+from .common import caches, documents, map_arrow, shared, table
 
 BLOCK = 256
 PERCENTILE = 90
@@ -188,6 +188,7 @@ class Pieces:
 
 
 _pieces: dict[str, Pieces] = {}
+caches(__name__, _pieces.clear)
 
 
 def pieces_of(tokenizer: str) -> Pieces:
