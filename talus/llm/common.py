@@ -68,8 +68,21 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow for functions of one batch. make() runs once a task and returns the function; this returns columns by name."""
+def gathered(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have least_bytes; none has more than that and one batch more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str | T.StructType, least_bytes: int = 0) -> DataFrame:
+    """mapInArrow for functions of one batch. make() runs once a task and returns the function; this returns columns by name. least_bytes: of a batch, by putting Arrow's together."""
     small_batches(df.sparkSession)
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
@@ -79,7 +92,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin(owner)
         f = make()
-        for batch in batches:
+        for batch in gathered(batches, least_bytes) if least_bytes else batches:
             if batch.num_rows:
                 columns = f(batch)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[n.name], pa.Array) else pa.array(x, n.type) for n in arrow], schema=arrow)

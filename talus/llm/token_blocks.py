@@ -19,15 +19,18 @@ doc_id are ordered by text and each written; an empty table gives an empty file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import caches, documents, map_arrow, shared, table
 
 BLOCK = 256
@@ -35,6 +38,8 @@ PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 17
 #: Word pieces that a task keeps with their ids.
 CACHE = 1_000_000
+#: Bytes of text whose distinct pieces are looked up together.
+GATHERED = 16 << 20
 END_ID = 0
 SEGMENT = "shard int, segment long, before long, doc_ids array<long>, ends array<long>, payload binary"
 
@@ -102,13 +107,49 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return (out + heads["least"][:, None]).reshape(-1)[: min(n - first * block, out.size)]
 
 
-class Pieces:
-    """Ids of texts by the tokenizers library, which gets each distinct piece once. A text may be cut before a space between two
-    letters of other kinds than white space: there a new piece of the byte-level pattern begins whatever stands around it. So pieces that begin with
-    one space and end in a letter go to the library in long strings; their ids are told apart by the tokens that begin with a space."""
+def joined(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs number at of ids, which has runs of these lengths one after another, and their lengths."""
+    n = lengths[at]
+    stops = np.cumsum(n)
+    return ids[np.repeat((np.cumsum(lengths) - lengths)[at] - (stops - n), n) + np.arange(int(n.sum()))], n
+
+
+class Known:
+    """Distinct words as one Arrow array and their ids one after another: no Python object for each."""
+
+    def __init__(self):
+        self.words, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each, -1 if it isn't there."""
+        at = pc.index_in(words, value_set=self.words)
+        return pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    _near = re.compile(r"\s \s")
+    def add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.words, self.ids, self.lengths = pa.concat_arrays([self.words, words]), np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+
+    def keep(self, at: np.ndarray) -> None:
+        """Those at these places alone."""
+        self.ids, lengths = joined(self.ids, self.lengths, at)
+        self.words, self.lengths = self.words.take(pa.array(at)), lengths
+
+
+class Pieces:
+    """Ids of texts by the tokenizers library, which gets each distinct word once. A text may be cut before a space or a line's end between two
+    letters of other kinds than white space, and between a Latin letter and a mark before white space: there a new piece of the byte-level pattern begins whatever
+    stands around it. Texts are cut, and words numbered and looked up, by Arrow. New words go to the library in long strings; their ids are told apart by the tokens that
+    begin with a space, or are a line's end. Words of Latin letters alone are one piece whatever the pattern, so the library's model gets them without it."""
+
+    # for Arrow; of the letters that str.isspace() knows
+    _white = r"[\t-\r\x1c-\x1f \x{85}\p{Z}]"
+    _near = f"{_white} {_white}"
+    _crowded = f"(?:^|{_white})\n|\n(?:{_white}|$)"
+    _letter = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
     _safe = re.compile(r"(?<=\S) (?=\S)")
+    _blank = re.compile(r"\s")
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,71 +161,118 @@ class Pieces:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self.line = int(np.frombuffer(self._one_by_one(["\n"])[0], "<u4")[0])
-        self.marks = dict(zip(".,", self._one_by_one([".", ","]), strict=True))
-        self.cache: dict[str, bytes] = {}
-
-    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Puts the ids of a space and each of words into the cache."""
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        odd = [w for w in words if not (w and not w[0].isspace() and not w[-1].isspace())]
-        self.cache.update(zip(odd, self._one_by_one([" " + w for w in odd]), strict=True))
-        for k in range(0, len(plain), 512):
-            part = plain[k : k + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(part) or at[0]:
-                self.cache.update(zip(part, self._one_by_one([" " + w for w in part]), strict=True))
-                continue
-            raw, starts = ids.tobytes(), (4 * at).tolist()
-            self.cache.update(zip(part, [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as 32-bit little-endian numbers."""
-        flat, ends, heads = [], [0], []
-        for t in texts:
-            first, *rest = self._safe.split(t) if self._near.search(t) else t.split(" ")
-            heads.append(first)
-            flat += rest
-            ends.append(len(flat))
-        if len(self.cache) > CACHE:  # frequent words are among those of any batch
-            self.cache = {w: self.cache[w] for w in {*flat}.intersection(self.cache)}
-        parts = list(map(self.cache.get, flat))
-        missing = [i for i, x in enumerate(parts) if x is None]
-        new = {flat[i] for i in missing}
-        # a word with . or , after it is the word's ids and the mark's
-        marked = [w for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()]
-        self._learn([*new.difference(marked).union([w[:-1] for w in marked]).difference(self.cache)])
-        for w in marked:
-            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
-        for i in missing:
-            parts[i] = self.cache[flat[i]]
-        out = [h + b"".join(parts[i:j]) for h, i, j in zip(self._heads(heads), ends, ends[1:])]  # noqa: B905
-        for w in new:
-            if len(w) > 64 or "\n" in w:
-                self.cache.pop(w, None)
-        return out
-
-    def _heads(self, heads: list[str]) -> list[bytes]:
-        """Ids of the texts' first words, which have no space before them: those of letters and marks alone go in lines."""
-        ids = self._one_by_one([h for h in heads if not h.isprintable() or not h or h.isspace()])
-        odd = iter(ids)
-        plain = [h for h in heads if h.isprintable() and h and not h.isspace()]
-        got: list[bytes] = []
-        for k in range(0, len(plain), 512):
-            part = plain[k : k + 512]
-            own = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(own == self.line)
-            if len(at) != len(part) - 1:
-                got += self._one_by_one(part)
-                continue
-            raw, starts, stops = own.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(own)]
-            got += [raw[i:j] for i, j in zip(starts, stops, strict=True)]
-        even = iter(got)
-        return [next(even) if h.isprintable() and h and not h.isspace() else next(odd) for h in heads]
+        self.marks = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(["\n", ".", ","], add_special_tokens=False)]
+        spec = json.loads(tokenizer)
+        level = spec.get("pre_tokenizer") or {}
+        self.model = None
+        if level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and not spec.get("normalizer"):
+            self.model = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}))
+            self.model.no_truncation()
+            self.model.no_padding()
+            self.model.model._resize_cache(0)  # each word comes once
+            self.letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
+        self.spaced, self.bare = Known(), Known()
+
+    def _learn(self, words: pa.Array, known: Known, lead: str) -> np.ndarray:
+        """The places of the distinct new words, whose ids with lead before them are put into known."""
+        latin = pc.match_substring_regex(words, f"^{self._letter}+$").to_numpy(zero_copy_only=False) if self.model else np.zeros(len(words), bool)
+        other = words.filter(pa.array(~latin)).to_pylist()
+        odd = np.zeros(len(words), bool)
+        odd[~latin] = [not w or bool(self._blank.search(w)) for w in other]
+        ids, lengths, order = [], [], []
+
+        def one_by_one(some: list[str]) -> None:
+            for e in self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False):
+                ids.append(np.array(e.ids, np.uint32))
+                lengths.append(np.array([len(e.ids)]))
+
+        for rows, simple in ((latin, True), (~latin & ~odd, False)):
+            order.append(np.flatnonzero(rows))
+            some = words.filter(pa.array(rows)).to_numpy(zero_copy_only=False).tolist()
+            for k in range(0, len(some), 512):
+                part = some[k : k + 512]
+                if simple:
+                    text = " ".join(part).encode().decode("latin-1").translate(self.letters)
+                    text = "\u0120" + text.replace(" ", " \u0120") if lead else "\u010a " + text.replace(" ", " \u010a ")
+                else:
+                    text = lead + " ".join(part) if lead else "\n".join(["", *part])
+                got = np.array((self.model if simple else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                opens = self.opens[got] if lead else got == self.marks[0][0]
+                at = np.flatnonzero(opens)
+                if len(at) != len(part) or at[0]:
+                    one_by_one(part)
+                else:
+                    ids.append(got if lead else got[~opens])
+                    lengths.append(np.diff(at, append=len(got)) - (not lead))
+        order.append(np.flatnonzero(odd))
+        one_by_one(words.filter(pa.array(odd)).to_pylist())
+        order, places = np.concatenate(order), np.zeros(len(words), np.int64)
+        places[order] = len(known) + np.arange(len(order))
+        known.add(words.take(pa.array(order)), np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *lengths]))
+        return places
+
+    def _entries(self, entries: pa.Array, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and their lengths. bare: those without a space before them."""
+        # lines of a piece: the first is as bare as the piece, the others follow a line's end
+        lined = pc.and_(pc.match_substring(entries, "\n"), pc.invert(pc.match_substring_regex(entries, self._crowded)))
+        cut = pc.split_pattern(entries.filter(lined), "\n")
+        lined = lined.to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.concatenate([np.flatnonzero(~lined), np.repeat(np.flatnonzero(lined), sizes)])
+        rank = np.concatenate([np.zeros(int((~lined).sum()), np.int64), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)])
+        words = pa.concat_arrays([entries.filter(pa.array(~lined)), cut.flatten()])
+        # a word of letters with . or , after it is the word's ids and the mark's
+        marked = pc.match_substring_regex(words, f"^{self._letter}+[.,]$")
+        mark = np.where(pc.ends_with(words, ".").to_numpy(zero_copy_only=False), 1, 2)
+        words = pc.if_else(marked, pc.utf8_rtrim(words, ".,"), words)
+        bare, place = bare[of] | (rank > 0), np.zeros(len(words), np.int64)
+        for known, lead, rows in ((self.spaced, " ", ~bare), (self.bare, "", bare)):
+            coded = pc.dictionary_encode(words.filter(pa.array(rows)))
+            own = coded.dictionary
+            at = known.find(own)
+            if len(known) > CACHE:  # frequent words are among those of any batch
+                known.keep(at[at >= 0])
+                at = known.find(own)
+            if (at < 0).any():
+                at[at < 0] = self._learn(own.filter(pa.array(at < 0)), known, lead)
+            place[rows] = at[coded.indices.to_numpy()] + (0 if lead else len(self.spaced))
+        ids = np.concatenate([self.spaced.ids, self.bare.ids, *self.marks])
+        lengths = np.concatenate([self.spaced.lengths, self.bare.lengths, [len(m) for m in self.marks]])
+        line = len(lengths) - 3
+        parts = np.stack([np.where(rank > 0, line, -1), place, np.where(marked.to_numpy(zero_copy_only=False), line + mark, -1)], axis=1)
+        parts, of = parts[(order := np.argsort(of, kind="stable"))], of[order]
+        there = parts >= 0
+        out, n = joined(ids, lengths, parts[there])
+        for known in (self.spaced, self.bare):
+            long = pc.greater(pc.utf8_length(known.words), 64)
+            if pc.any(long).as_py():
+                known.keep(np.flatnonzero(~long.to_numpy(zero_copy_only=False)))
+        return out, np.bincount(np.repeat(of, there.sum(axis=1)), weights=n, minlength=len(entries)).astype(np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, with end_id after each, and the count of each text's."""
+        near = pc.match_substring_regex(texts, self._near).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        flat, sizes, order = cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), None
+        if near.any():
+            apart = [self._safe.split(texts[i].as_py()) for i in np.flatnonzero(near).tolist()]
+            starts, more = np.cumsum(sizes) - sizes, np.array([len(x) for x in apart])
+            starts[near], sizes[near] = len(flat) + np.cumsum(more) - more, more
+            flat = pa.concat_arrays([flat, pa.array([x for own in apart for x in own], pa.large_string())])
+            order = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        words = pc.dictionary_encode(flat)
+        at, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+        if order is not None:
+            at = at[order]
+        first = np.cumsum(sizes) - sizes  # of each text: it has no space before it
+        heads, which = np.unique(at[first], return_inverse=True)
+        ids, lengths = self._entries(pa.concat_arrays([names, names.take(pa.array(heads))]), np.arange(len(names) + len(heads)) >= len(names))
+        at[first] = len(names) + which
+        if end_id is not None:
+            at, sizes = np.insert(at, first + sizes, len(lengths)), sizes + 1
+            ids, lengths = np.append(ids, np.uint32(end_id)), np.append(lengths, 1)
+        out, n = joined(ids, lengths, at)
+        return out, np.diff(np.cumsum(n)[np.cumsum(sizes) - 1], prepend=0)
 
 
 _pieces: dict[str, Pieces] = {}
@@ -212,37 +300,29 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, partition
 
         pieces, shard = pieces_of(shipped.value), TaskContext.get().partitionId()
         state = {"segment": 0, "before": 0}
-        end = np.array([end_id], "<u4").tobytes()
 
         def f(batch: pa.RecordBatch) -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in ("shard", "segment", "before", "doc_ids", "ends", "payload")}
-            ids, held, size = [], [], 0
-
-            def close():
-                nonlocal ids, held, size
+            ids, counts = pieces.encode(batch.column(1), end_id)
+            doc_ids, ends = batch.column(0).to_pylist(), np.cumsum(counts)
+            i, done = 0, 0
+            while i < len(doc_ids):  # a segment ends with the document that fills it
+                j = min(int(np.searchsorted(ends, done + segment_tokens)) + 1, len(doc_ids))
+                stop = int(ends[j - 1])
                 out["shard"].append(shard)
                 out["segment"].append(state["segment"])
                 out["before"].append(state["before"])
-                out["doc_ids"].append(ids)
-                out["ends"].append(np.cumsum([len(h) // 4 for h in held]).tolist())
-                out["payload"].append(pack(np.frombuffer(b"".join(held), "<u4")))
+                out["doc_ids"].append(doc_ids[i:j])
+                out["ends"].append((ends[i:j] - done).tolist())
+                out["payload"].append(pack(ids[done:stop]))
                 state["segment"] += 1
-                state["before"] += size
-                ids, held, size = [], [], 0
-
-            for doc_id, own in zip(batch.column(0).to_pylist(), pieces.encode(batch.column(1).to_pylist()), strict=True):
-                ids.append(doc_id)
-                held.append(own + end)
-                size += len(own) // 4 + 1
-                if size >= segment_tokens:
-                    close()
-            if held:
-                close()
+                state["before"] += stop - done
+                i, done = j, stop
             return out
 
         return f
 
-    return map_arrow(ordered, make, SEGMENT)
+    return map_arrow(ordered, make, SEGMENT, least_bytes=GATHERED)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, **options) -> None:

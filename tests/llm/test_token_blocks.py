@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,13 +33,28 @@ def test_outliers_are_exceptions():
         tb.unpack(b"nothing of the kind")
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab.'s1 \n\t\x1c\x85 é<|")), max_size=24))
-def test_pieces_like_whole_texts(text):
+@pytest.fixture(scope="module")
+def both():
     raw = open(tb.default_tokenizer(), encoding="utf-8").read()
-    tk = test_pieces_like_whole_texts.__dict__.setdefault("tk", Tokenizer.from_str(raw))
-    p = test_pieces_like_whole_texts.__dict__.setdefault("p", tb.Pieces(raw))
-    assert np.frombuffer(p.encode([text])[0], "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_str(raw), tb.Pieces(raw)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab.,'s1 \n\t\x1c\x85 é<|", "\n", " ", "<|endoftext|>", "ñandú, "]), max_size=24).map("".join), min_size=1, max_size=3))
+def test_pieces_like_whole_texts(both, texts):
+    tk, p = both
+    ids, counts = p.encode(pa.array(texts), 0)
+    own = [[*tk.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert ids.tolist() == sum(own, [])
+    assert counts.tolist() == [len(x) for x in own]
+
+
+def test_pieces_after_words_are_forgotten(both, monkeypatch):
+    tk, p = both
+    monkeypatch.setattr(tb, "CACHE", 3)
+    for text in ("one two, three.\nFour five six", "one seven. eight " + "long" * 30, "three\nFour. nine" + " ten" * 5):
+        assert p.encode(pa.array([text]))[0].tolist() == tk.encode(text, add_special_tokens=False).ids
+    assert not any(len(w) > 64 for w in p.spaced.words.to_pylist())
 
 
 def test_files(spark, tmp_path):
