@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import shared, ship, table, written  # noqa: F401  those that the operators use
+from ..session import cleaned, shared, ship, table, written  # noqa: F401  those that the operators use
 
 #: Of one Arrow batch.
 BATCH_BYTES = 4 << 20
