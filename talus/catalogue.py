@@ -270,6 +270,8 @@ change("ddl_matview", ["CREATE MATERIALIZED VIEW m AS SELECT count(*) AS n FROM
 change("ddl_alter", ["ALTER TABLE region ADD COLUMN x INT DEFAULT 4", "ALTER TABLE region RENAME COLUMN r_name TO nm", "ALTER TABLE region ALTER COLUMN x TYPE BIGINT"], "SELECT r_regionkey, nm, x FROM region", "SELECT r_regionkey, r_name AS nm, 4::BIGINT AS x FROM region")
 change("ddl_partitions", ["CREATE TABLE e (k BIGINT, v TEXT) PARTITION BY LIST (v)", "CREATE TABLE e1 PARTITION OF e FOR VALUES IN ('view', 'click')", "CREATE TABLE e2 PARTITION OF e DEFAULT", "INSERT INTO e SELECT event_id, event_type FROM events"], "SELECT 1 AS p, count(*) AS n FROM e1 UNION ALL SELECT 2, count(*) FROM e2 UNION ALL SELECT 0, count(*) FROM e", "SELECT 1 AS p, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS n FROM events UNION ALL SELECT 2, count(*) FILTER (WHERE event_type NOT IN ('view', 'click')) FROM events UNION ALL SELECT 0, count(*) FROM events")
 change("txn_rollback", ["BEGIN", "DELETE FROM region", "SAVEPOINT a", "INSERT INTO region VALUES (7, 'q')", "ROLLBACK"], "SELECT * FROM region", "SELECT * FROM region")
+change("security_delete_policy", ["CREATE ROLE ann", "GRANT SELECT, DELETE ON customer TO ann", "ALTER TABLE customer ENABLE ROW LEVEL SECURITY", "CREATE POLICY s ON customer FOR SELECT USING (true)", "CREATE POLICY u ON customer FOR UPDATE USING (true)", "CREATE POLICY d ON customer FOR DELETE USING (c_nationkey < 9)", "SET ROLE ann", "DELETE FROM customer WHERE c_acctbal > 0"], "SELECT c_custkey FROM customer", "SELECT c_custkey FROM customer WHERE NOT (c_nationkey < 9 AND c_acctbal > 0)")
+change("security_update_check", ["CREATE ROLE ann", "GRANT SELECT, UPDATE ON customer TO ann", "ALTER TABLE customer ENABLE ROW LEVEL SECURITY", "CREATE POLICY s ON customer FOR SELECT USING (true)", "CREATE POLICY u ON customer FOR UPDATE USING (c_nationkey < 9) WITH CHECK (c_mktsegment = 'ONE')", "SET ROLE ann", "UPDATE customer SET c_mktsegment = 'ONE'"], "SELECT c_custkey, c_mktsegment FROM customer", "SELECT c_custkey, CASE WHEN c_nationkey < 9 THEN 'ONE' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 change("security_policy", ["CREATE ROLE ann", "GRANT SELECT ON customer TO ann", "ALTER TABLE customer ENABLE ROW LEVEL SECURITY", "CREATE POLICY p ON customer FOR SELECT TO ann USING (c_nationkey = 3)", "CREATE POLICY q ON customer FOR SELECT USING (c_nationkey = 4)", "CREATE POLICY r ON customer AS RESTRICTIVE USING (c_acctbal > 0)", "SET ROLE ann"], "SELECT c_custkey FROM customer", "SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 4) AND c_acctbal > 0")
 change("prepare_execute", ["PREPARE pq AS SELECT n_name FROM nation WHERE n_regionkey = $1 AND n_nationkey > $2"], "EXECUTE pq(1, 2)", "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2")
 change("udf_sql", ["CREATE FUNCTION plus_tax(p FLOAT8, t FLOAT8) RETURNS FLOAT8 AS $$ SELECT p * (1 + t) $$ LANGUAGE sql"], "SELECT l_orderkey, l_linenumber, round(plus_tax(l_extendedprice, l_tax), 4) AS x FROM lineitem", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) AS x FROM lineitem")

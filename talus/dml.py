@@ -40,7 +40,7 @@ class Changes:
         else:
             if body[0].word("VALUES"):
                 by = {c.name: c for c in t.columns}
-                rows = [[self._default(by[columns[i]]) if len(v) == 1 and v[0].word("DEFAULT") else e._text(v) for i, v in enumerate(e.split(g.inside))] for g in body if g.kind == "("]
+                rows = [[self._default(t, by[columns[i]]) if len(v) == 1 and v[0].word("DEFAULT") else e._text(v) for i, v in enumerate(e.split(g.inside))] for g in body if g.kind == "("]
                 columns = columns[: len(rows[0])]
                 source = self.query("VALUES " + ", ".join(f"({', '.join(r)})" for r in rows))
             else:
@@ -55,9 +55,9 @@ class Changes:
                 return self.sql(rule[3]) if not rule[3].upper().startswith("NOTHING") else e.Result("INSERT")
         return self._insert(name, source, columns, "INSERT", conflict[: _at(conflict, "RETURNING")], e._text(returning), alias)
 
-    def _default(self, c) -> str:
+    def _default(self, t, c) -> str:
         if c.default == "__serial":
-            seq = self.state.sequences.setdefault(f"__{c.name}", [1, 1, 0])
+            seq = self.state.sequences.setdefault(f"{t.name}_{c.name}_seq", [1, 1, 0])
             seq[0], seq[2] = seq[0] + 1, seq[0]
             return str(seq[2])
         return c.default or "NULL"
@@ -90,9 +90,7 @@ class Changes:
         self.state.auth.check(self.role, name, "INSERT", t.owner)
         new = self._fire(t, "BEFORE INSERT", self._fill(t, source, columns))
         new = e.written(new, f"{name}-new")
-        check = self.state.auth.row_filter(self.role, name, "INSERT", t.owner, check=True)
-        if check is not None and new.filter(f"NOT coalesce({e.expression(check)}, false)").limit(1).count():
-            raise e.ConstraintError(f"a new row breaks a policy of {name}")
+        self._checked(t, new, "INSERT")
         if conflict:
             return self._upsert(t, new, list(conflict), returning)
         if t.kind == "partitioned":
@@ -106,6 +104,12 @@ class Changes:
         self._fire(t, "AFTER INSERT", new)
         return e.Result(message, count, self._returning(t, new, returning))
 
+    def _checked(self, t, new: DataFrame, command: str) -> None:
+        """Raises if a new row breaks the policies of t."""
+        check = self.state.auth.row_filter(self.role, t.name, command, t.owner, check=True)
+        if check is not None and new.filter(f"NOT coalesce({e.expression(check)}, false)").limit(1).count():
+            raise e.ConstraintError(f"a new row breaks a policy of {t.name}")
+
     def _version(self, t, df: DataFrame) -> DataFrame:
         if e.RID not in df.columns:
             df = df.withColumn(e.RID, F.expr("uuid()"))
@@ -194,10 +198,10 @@ class Changes:
                 out[part[at - 1].text.strip('"').lower()] = e._text(part[at + 1 :])
         return out
 
-    def _matched(self, t, alias, select, sources, where) -> DataFrame:
-        """The rows that a condition finds, once each, with their ids."""
+    def _matched(self, t, alias, select, sources, where, command, named) -> DataFrame:
+        """The rows that a condition finds, once each, with their ids, of those that the policies of the relation named let the command see."""
         rows = self._rids(t)
-        policy = self.state.auth.row_filter(self.role, t.name, "UPDATE", t.owner)
+        policy = self.state.auth.row_filter(self.role, named.name, command, named.owner)
         (rows.filter(e.expression(policy)) if policy is not None else rows).createOrReplaceTempView("__target")
         self._names(e.flat(f"{sources} {where} {select}"))
         sql = f"SELECT {alias}.{e.RID} AS {e.RID}, {select} FROM __target AS {alias}{f', {sources}' if sources else ''}{f' WHERE {where}' if where else ''}"
@@ -222,12 +226,13 @@ class Changes:
         names = {c.name: c for c in t.columns}
         total, touched = 0, None
         for own in [t, *(c for c in self.state.tables.values() if c.parent == t.name)]:
-            select = ", ".join(f"CAST({self._default(c) if sets[n].upper() == 'DEFAULT' else sets[n]} AS {c.type}) AS {n}" if n in sets else f"{alias}.{n} AS {n}" for n, c in names.items() if c.generated is None)
-            changed = self._matched(own, alias, select, sources, e._text(tree[where + 1 : ret]) if where < len(tree) else "")
+            select = ", ".join(f"CAST({self._default(t, c) if sets[n].upper() == 'DEFAULT' else sets[n]} AS {c.type}) AS {n}" if n in sets else f"{alias}.{n} AS {n}" for n, c in names.items() if c.generated is None)
+            changed = self._matched(own, alias, select, sources, e._text(tree[where + 1 : ret]) if where < len(tree) else "", "UPDATE", t)
             for c in t.columns:
                 if c.generated is not None:
                     changed = changed.withColumn(c.name, F.expr(e.expression(c.generated)).cast(c.type))
             changed = e.written(self._fire(t, "BEFORE UPDATE", changed.select(*names, e.RID)), f"{t.name}-changed")
+            self._checked(t, changed, "UPDATE")
             kept = self._rids(self._get(own.name)).join(changed.select(e.RID), e.RID, "left_anti")
             self._validate(t, changed)
             self._unique(t, kept, changed)
@@ -246,7 +251,7 @@ class Changes:
         sources = e._text(tree[using + 1 : min(where, ret)]) if using < len(tree) else ""
         total, touched = 0, None
         for own in [t, *(c for c in self.state.tables.values() if c.parent == t.name)]:
-            gone = self._matched(own, alias, ", ".join(f"{alias}.{c.name} AS {c.name}" for c in t.columns), sources, e._text(tree[where + 1 : ret]) if where < len(tree) else "")
+            gone = self._matched(own, alias, ", ".join(f"{alias}.{c.name} AS {c.name}" for c in t.columns), sources, e._text(tree[where + 1 : ret]) if where < len(tree) else "", "DELETE", t)
             gone = self._fire(t, "BEFORE DELETE", gone)
             total += self._remove(self._get(own.name), gone)
             touched = gone if touched is None else touched.unionByName(gone)

@@ -179,3 +179,17 @@ def test_recursion(db):
     db.script("CREATE TABLE g (a INT, b INT); INSERT INTO g VALUES (1, 2), (2, 3), (3, 1)")
     assert rows(db.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT b FROM g JOIN r ON g.a = r.n) SELECT n FROM r")) == [(1,), (2,), (3,)]
     assert rows(db.sql("WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 300) SELECT count(*) AS k, max(n) AS m FROM c")) == [(300, 300)]
+
+
+def test_policies_of_changes_and_serial_defaults(db):
+    db.script("CREATE ROLE ann; CREATE TABLE p (id INT, o TEXT); INSERT INTO p VALUES (1, 'a'), (2, 'a'), (3, 'b'); GRANT SELECT, UPDATE, DELETE ON p TO ann; ALTER TABLE p ENABLE ROW LEVEL SECURITY")
+    db.script("CREATE POLICY s ON p FOR SELECT USING (true); CREATE POLICY u ON p FOR UPDATE USING (true) WITH CHECK (o = 'a'); SET ROLE ann")
+    assert db.sql("DELETE FROM p").count == 0
+    with pytest.raises(ConstraintError):
+        db.sql("UPDATE p SET o = 'b'")
+    assert db.sql("UPDATE p SET o = 'a', id = id + 10 WHERE id = 3").count == 1
+    db.script("RESET ROLE; CREATE POLICY d ON p FOR DELETE USING (id < 2); SET ROLE ann; DELETE FROM p; RESET ROLE")
+    assert rows(db.sql("SELECT id, o FROM p")) == [(13, "a"), (2, "a")]
+    db.script("CREATE TABLE q (id SERIAL, n INT); CREATE TABLE r (id SERIAL, n INT); INSERT INTO q (n) VALUES (1); INSERT INTO q VALUES (DEFAULT, 2); INSERT INTO r VALUES (DEFAULT, 3); INSERT INTO q (n) VALUES (4)")
+    assert rows(db.sql("SELECT id, n FROM q")) == [(1, 1), (2, 2), (3, 4)]
+    assert rows(db.sql("SELECT id, n FROM r")) == [(1, 3)]
