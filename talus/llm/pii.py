@@ -3,8 +3,8 @@
 The base kinds (email, ip, card, phone) are exact patterns whose matches always stay. Further kinds have generators of high recall, whose spans may
 overlap: secret (keys and tokens), national_id, local_phone (without a country code) and masked_email ("a (at) b (dot) c"). A span's features
 are of its format (length, digits, letters, entropy, separators) and context (words and marks around it). Gradient-boosted trees of depth 2 are trained
-on examples made from templates with a seed, TRAINING of them; their scores are calibrated on examples that were held out, by Platt's method, and each kind's
-threshold is the least with PRECISION there. Of selected spans that overlap, the likeliest stays; none that overlaps a base span does.
+on examples made from templates with a seed, TRAINING of them; their scores are calibrated on a quarter of the examples that is held out, by Platt's method, and each kind's
+threshold is the least with PRECISION on another quarter. Of selected spans that overlap, the likeliest stays; none that overlaps a base span does.
 
 Results that are defined here: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows are each searched. An
 empty table gives an empty result. A column named like a new one is replaced.
@@ -37,16 +37,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")  # a number is
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,256}={0,2}(?![A-Za-z0-9_/+=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![A-Za-z0-9_/+=-])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
-    "masked_email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?(?:dot|DOT) ?[\])]) ?[A-Za-z0-9-]{1,63})+"),
+    "masked_email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?(?:dot|DOT) ?[\])]) ?[A-Za-z0-9-]++)+"),
 }
-_MAYBE = re.compile(r"[0-9@]|[\[(] ?(?:at|AT)")
+#: What a match of a kind must have; a text without it is not searched for that kind.
+_NEEDS = {"national_id": re.compile("[0-9]"), "local_phone": re.compile("[0-9]"), "masked_email": re.compile(r"[\[(] ?(?:at|AT)")}
 _HINTS = {
     "secret": re.compile(r"(?i)token|secret|passw|api|key|auth|bearer|credential"), "national_id": re.compile(r"(?i)ssn|social|security|national|tax|\bid\b"),
     "local_phone": re.compile(r"(?i)call|phone|tel|mobile|cell|fax|dial|reach"), "masked_email": re.compile(r"(?i)mail|contact|write|reach"),
 }
+#: How keys of well-known services begin.
+_SERVICES = ["sk_live_", "sk_test_", "pk_live_", "rk_live_", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AIza", "sk-"]
 _OTHER = re.compile(r"(?i)commit|sha|checksum|order|invoice|version|isbn|part|model|serial|path|http|page|date|hash|ref")
 
 
@@ -87,7 +90,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    return [(kind, *m.span()) for kind, p in _GENERATORS.items() for m in p.finditer(text)]
+    return [(kind, *m.span()) for kind, p in _GENERATORS.items() if kind not in _NEEDS or _NEEDS[kind].search(text) for m in p.finditer(text)]
 
 
 def features(text: str, kind: str, start: int, stop: int) -> list[float]:
@@ -99,7 +102,7 @@ def features(text: str, kind: str, start: int, stop: int) -> list[float]:
         float(n), share(str.isdigit), share(str.isupper), share(lambda c: c in "0123456789abcdefABCDEF"), share(lambda c: not c.isalnum()),
         -sum(c / n * math.log2(c / n) for c in counts.values()), float(any(map(str.isdigit, own)) and any(map(str.isalpha, own))), float(own.isalpha()),
         float(bool(_HINTS[kind].search(before[-30:]))), float(bool(_OTHER.search(before[-24:]))), float(near in "=:"), float(before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(after[:1])),
-        float(bool(re.search(r"[=:]\s*[\"'`]?$", before))), float(before[-1:].isalnum()), sum(a.isdigit() != b.isdigit() for a, b in zip(own, own[1:])) / n, float(FURTHER.index(kind)),  # noqa: B905
+        float(bool(re.search(r"[=:]\s*[\"'`]?$", before))), float(before[-1:].isalnum()), sum(a.isdigit() != b.isdigit() for a, b in zip(own, own[1:])) / n, float(own.startswith(tuple(_SERVICES))), float(FURTHER.index(kind)),  # noqa: B905
     ]
 
 
@@ -149,9 +152,12 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         kind, good = rng.choice(FURTHER), rng.random() < 0.5
         if kind == "secret":
             if good:
-                own = rng.choice([hexes(32), hexes(40), hexes(64), mixed(rng.randint(20, 44))])
+                own = rng.choice([hexes(32), hexes(40), hexes(64), hexes(rng.randint(16, 600)), mixed(rng.randint(20, 44)), mixed(rng.randint(45, 600)), re.sub("[^A-Za-z]", "x", mixed(rng.randint(20, 64)))])
                 lead = rng.choice(["token", "api_key", "secret", "password", "auth", "access key", "client_secret", "TOKEN"]) + rng.choice([" = ", "=", ": ", ":"])
                 quote = rng.choice(['"', '"', "'", ""])
+                if rng.random() < 0.25:  # a key that a service's mark tells, whatever stands before it
+                    own = rng.choice(_SERVICES) + rng.choice([mixed(rng.randint(16, 40)), mixed(rng.randint(16, 40)).upper()])
+                    lead = rng.choice([lead, "", f"{some(3)} ", "see "])
             else:
                 own = rng.choice([hexes(40), digits(rng.randint(16, 30)), "".join(word() for _ in range(7)), "-".join(word() + word() for _ in range(4)), "/".join(word() + word() for _ in range(4)), mixed(24)])
                 lead, quote = rng.choice(["commit ", "sha ", "see ", "order ", "version ", "path ", "checksum: ", some(3) + " ", some(3) + " ", some(3) + " "]), rng.choice(["", "", '"'])
@@ -177,8 +183,9 @@ class Selector:
 
     def __init__(self, training: int = TRAINING, precision: float = PRECISION, seed: int = 7):
         x, y = examples(training, seed)
-        held = np.arange(len(y)) % 3 == 0
-        self.trees = Boosted(x[~held], y[~held])
+        part = np.arange(len(y)) % 4  # half for the trees, a quarter to calibrate them, a quarter for thresholds
+        held = part == 0
+        self.trees = Boosted(x[part > 1], y[part > 1])
         f, t = self.trees(x[held]), y[held]
         a, b = 1.0, 0.0
         smooth = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
@@ -188,11 +195,14 @@ class Selector:
             step = np.linalg.solve(np.array([[(w * f * f).sum() + 1e-6, (w * f).sum()], [(w * f).sum(), w.sum() + 1e-6]]), np.array([(g * f).sum(), g.sum()]))
             a, b = a - step[0], b - step[1]
         self.a, self.b, self.thresholds = a, b, {}
-        p, kinds = self.scores(x[held]), x[held][:, -1]
+        held = part == 1
+        p, t, kinds = self.scores(x[held]), y[held], x[held][:, -1]
         for k, kind in enumerate(FURTHER):
             own, right = p[kinds == k], t[kinds == k]
             fits = [c for c in np.unique(own) if right[own >= c].mean() >= precision]
-            self.thresholds[kind] = max(0.5, min(fits)) if fits else 2.0
+            if not fits:
+                raise ValueError(f"no threshold gives a precision of {precision} for {kind}; ask for less or give more examples")
+            self.thresholds[kind] = max(0.5, min(fits))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.trees(x) + self.b, -500, 500)))
@@ -215,7 +225,7 @@ def selector(training: int = TRAINING, precision: float = PRECISION) -> Selector
 
 
 def spans(text: str | None, select: Selector) -> list[tuple[str, int, int, float]]:
-    if not text or not _MAYBE.search(text):
+    if not text:
         return []
     base = base_spans(text)
     return [(*s, 1.0) for s in base] + select(text, base)
