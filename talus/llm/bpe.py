@@ -19,10 +19,10 @@ import json
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +43,28 @@ def byte_letters() -> list[str]:
     return [chr(b if b in prints else next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def classes() -> dict[str, str | dict[str, str]]:
+    """Of \\p{L} and \\p{N} as the tokenizers library has them, whose Unicode is not Python's: ranges of letters for a set of the re module. lower: lower case of letters for which Python has another one."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
+    code, out = np.concatenate([np.arange(1, 0xD800), np.arange(0xE000, 0x110000)]), {}
+    for name in ("\\p{L}", "\\p{N}"):
+        rest = [at for _, at in pre_tokenizers.Split(Regex(f"{name}+"), "removed").pre_tokenize_str(every)]
+        starts, stops = [0, *(b for _, b in rest)], [*(a for a, _ in rest), len(every)]
+        runs = [(code[a], code[b - 1]) for a, b in zip(starts, stops, strict=True) if a < b]
+        out[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+    lower = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    plain = "\n".join(every).split("\n")
+    out["lower"] = {a: b for a, b in zip(plain, lower, strict=True) if a.lower() != b}
+    return out
+
+
 class Bpe:
-    def __init__(self, text: str):
+    def __init__(self, text: str, letters: dict[str, str | dict[str, str]] | None = None):
+        """letters: those of classes(), by default made here."""
+        letters = letters or classes()
         spec = json.loads(text)
         model, steps = spec["model"], (spec.get("normalizer") or {}).get("normalizers", [])
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or spec.get("decoder"):
@@ -54,7 +74,15 @@ class Bpe:
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if split["type"] != "Split" or not split["invert"] or level["type"] != "ByteLevel" or level["add_prefix_space"] or level["use_regex"]:
             raise ValueError("a pre-tokenizer of another make")
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace("[^\\s", f"[^{_SPACE}"))
+        pattern = split["pattern"]["Regex"].replace("[^\\s", f"[^{_SPACE}")
+        for name in ("\\p{L}", "\\p{N}"):
+            pattern = pattern.replace(name, letters[name])
+        if "\\p" in pattern:
+            raise ValueError("a split pattern of another make")
+        self.pattern = re.compile(pattern)
+        self.lower = str.maketrans(letters["lower"])
+        self.strange = re.compile("[" + "".join(letters["lower"]) + "]") if letters["lower"] else None
+        self.alpha = re.compile(f"[{letters['\\p{L}']}]+")
         self.spaces = re.compile(f"[{_SPACE}]+")
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -104,7 +132,7 @@ class Bpe:
         return [p for p in parts if p >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ".," and piece[:-1].isalpha() and (known := self.cache.get(piece[:-1])):
+        if len(piece) > 1 and piece[-1] in ".," and self.alpha.fullmatch(piece, 0, len(piece) - 1) and (known := self.cache.get(piece[:-1])):
             out = known + self.ends[piece[-1]]
         elif piece.isascii() and piece.isalpha():
             out = array("i", self.word(piece)).tobytes()
@@ -117,7 +145,10 @@ class Bpe:
         return out
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        text = unicodedata.normalize("NFC", text)
+        if self.strange and not text.isascii() and self.strange.search(text):
+            text = text.translate(self.lower)
+        text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         pieces = text.split() if not _ODD.search(text) else [x for x in self.spaces.split(text) if x]
         get = self.cache.get
         return b"".join([get(x) or self._piece(x) for x in pieces])
@@ -138,11 +169,11 @@ _made: dict[str, Bpe] = {}
 caches(__name__, _made.clear)
 
 
-def bpe_of(text: str) -> Bpe:
+def bpe_of(text: str, letters: dict[str, str | dict[str, str]]) -> Bpe:
     """One for all tasks of a worker, so that its pieces are known to the next task."""
     if text not in _made:
         _made.clear()
-        _made[text] = Bpe(text)
+        _made[text] = Bpe(text, letters)
     return _made[text]
 
 
@@ -150,10 +181,10 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """docs with ids array<int>."""
     docs = tidy(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
-        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
+        shipped = docs.sparkSession.sparkContext.broadcast((f.read(), classes()))
 
     def make():
-        bpe = bpe_of(shipped.value)
+        bpe = bpe_of(*shipped.value)
 
         def f(batch: pa.RecordBatch) -> dict[str, list]:
             parts = [bpe.encode(t) if t else b"" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
@@ -169,10 +200,10 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded with decoded, the text of its ids."""
     encoded = tidy(encoded)
     with open(tokenizer_path, encoding="utf-8") as f:
-        shipped = encoded.sparkSession.sparkContext.broadcast(f.read())
+        shipped = encoded.sparkSession.sparkContext.broadcast((f.read(), classes()))
 
     def make():
-        bpe = bpe_of(shipped.value)
+        bpe = bpe_of(*shipped.value)
 
         def f(batch: pa.RecordBatch) -> dict[str, list]:
             ids = batch.column(batch.schema.get_field_index("ids"))

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -44,3 +45,12 @@ def test_query_form(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(tk.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_every_code_point_like_the_library():
+    raw = open(PATH, encoding="utf-8").read()
+    tk, own = Tokenizer.from_str(raw), bpe.Bpe(raw)
+    texts = [f"a{chr(c)}b {chr(c)}. X{chr(c)}," for c in range(1, 0x33480) if not 0xD800 <= c <= 0xDFFF]
+    for k in range(0, len(texts), 4096):
+        for t, e in zip(texts[k : k + 4096], tk.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(t), "<i4").tolist() == e.ids, ascii(t)
