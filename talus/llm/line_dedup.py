@@ -21,8 +21,8 @@ from .common import BLANKS, digest, extend, map_arrow, same, table, tidy, writte
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Batches of one call, and runs of a level before they are merged.
-BATCHES = 2
+#: Bytes of text that two batches are enough for; there is one batch more for each four times as many. Runs of a level before they are merged.
+BATCH_BYTES = 32 << 20
 FANOUT = 2
 
 
@@ -94,8 +94,11 @@ class LineRuns:
             self._put(level + 1, merged)
 
 
-def batches(docs: DataFrame, n: int) -> list[DataFrame]:
-    """docs in n slices of about as many rows by doc_id, the largest ids first; nulls go to the last."""
+def batches(docs: DataFrame, n: int | None = None) -> list[DataFrame]:
+    """docs in n slices of about as many rows by doc_id, the largest ids first; nulls go to the last. By default n follows the size, slowly, as each slice reads the table."""
+    if n is None:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+        n = 2 + (max(1, size // BATCH_BYTES).bit_length() - 1) // 2
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(n - 1, 0, -1)], 1000).alias("c")).first().c if n > 1 else []
     cuts = list(dict.fromkeys(cuts or []))
     doc_id, out, top = F.col("doc_id"), [], None
@@ -108,7 +111,7 @@ def batches(docs: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int | None = None, runs: LineRuns | None = None) -> DataFrame:
     """docs with text less its dropped lines, n_lines (before) and n_dropped.
 
     A key of at least min_chars code points that at least min_docs documents hold stays in its holder alone.
@@ -149,11 +152,11 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-c AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+k AS (SELECT r, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5)
 SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL AND k.doc_id <> c.holder) AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE c.key IS NULL OR k.doc_id = c.holder), '')) AS kept_sha256
-FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.r, k.doc_id
 """
