@@ -11,7 +11,7 @@ Nothing is done by pairs of documents: each key keeps its least doc_id, which is
 are by key with that one row, so that hot keys can be split.
 
 Results that are defined here: a null text has no words and stays null; a document of fewer than 50 words keeps them all. Rows with the same doc_id
-do not remove each other's words. Rows with a null doc_id are left as they are and remove nothing. An empty table gives an empty result. A
+are each judged by their own text and do not remove each other's words. Rows with a null doc_id are left as they are and remove nothing. An empty table gives an empty result. A
 column named like a new one is replaced.
 """
 
@@ -49,51 +49,53 @@ def paths(text: bytes, window: int = WINDOW, k: int = K) -> tuple[Words, np.ndar
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """edge, path (64 bits of its words' digest), doc_id, first window and count of windows, for each path of each document."""
+    """docs: doc_id, row and text. edge, path (64 bits of its words' digest), doc_id, row, first window and count of windows, for each path of each document."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict[str, list]:
-            edges, keys, ids, starts, counts = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            edges, keys, ids, rows, starts, counts = [], [], [], [], [], []
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 w, edge, first, last = paths(text or b"", window, k)
                 if len(edge):
                     raw, a, z = w.text, w.starts[first].tolist(), w.ends[last + window - 1].tolist()
                     edges.append(edge)
                     keys.append(np.frombuffer(b"".join([_key(raw[s:e]) for s, e in zip(a, z, strict=True)]), "<i8"))
                     ids.append(np.full(len(edge), doc_id))
+                    rows.append(np.full(len(edge), row))
                     starts.append(first)
                     counts.append(last - first + 1)
-            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (edges, keys, ids, starts, counts)]
-            return dict(zip(("edge", "path", "doc_id", "first", "n"), (pa.array(x.astype(t)) for x, t in zip(flat, ("i8", "i8", "i8", "i4", "i4"), strict=True)), strict=True))
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (edges, keys, ids, rows, starts, counts)]
+            return dict(zip(("edge", "path", "doc_id", "row", "first", "n"), (pa.array(x.astype(t)) for x, t in zip(flat, ("i8", "i8", "i8", "i8", "i4", "i4"), strict=True)), strict=True))
 
         return f
 
-    return map_arrow(docs, make, "edge long, path long, doc_id long, first int, n int")
+    return map_arrow(docs.select("doc_id", "row", "text"), make, "edge long, path long, doc_id long, row long, first int, n int")
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: doc_id, text and at, an array of (first, n). high and low of the digest, doc_id and at of each window of those runs."""
+    """docs: doc_id, row, text and at, an array of (first, n). high and low of the digest, doc_id, row and at of each window of those runs."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict[str, list]:
-            digests, ids, at = [], [], []
-            for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            digests, ids, rows, at = [], [], [], []
+            for doc_id, row, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 w = Words(b" ".join((text or b"").split()))
                 for i in sorted({i for r in runs for i in range(r["first"], r["first"] + r["n"]) if i + window <= w.n}):
                     digests.append(hashlib.blake2b(w.bytes_of(i, i + window), digest_size=16).digest())
                     ids.append(doc_id)
+                    rows.append(row)
                     at.append(i)
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            return {"high": pa.array(np.ascontiguousarray(both[:, 0])), "low": pa.array(np.ascontiguousarray(both[:, 1])), "doc_id": ids, "at": at}
+            return {"high": pa.array(np.ascontiguousarray(both[:, 0])), "low": pa.array(np.ascontiguousarray(both[:, 1])), "doc_id": ids, "row": rows, "at": at}
 
         return f
 
-    return map_arrow(docs, make, "high long, low long, doc_id long, at int")
+    return map_arrow(docs, make, "high long, low long, doc_id long, row long, at int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """docs: doc_id and text. doc_id and spans, an array of (first word, count of words) that a document with a smaller doc_id also has."""
-    docs = docs.filter(F.col("doc_id").isNotNull())
+    """docs: doc_id and text. doc_id, row (a hash of the text, so that rows with the same doc_id are told apart) and spans, an array of (first word, count of words) that a document with a smaller doc_id also has."""
+    docs = docs.filter(F.col("doc_id").isNotNull()).withColumn("row", F.xxhash64("text"))
     seen = occurrences(docs, window, k)
     edges = seen.groupBy("edge").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("doc_id").alias("least"), F.max("doc_id").alias("d1")).filter(F.col("least") < F.col("d1"))
     # written, so that both sides of the join are dealt anew and a hot edge's occurrences can be split
@@ -103,23 +105,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     split = written(repeats.filter("branches").groupBy("edge", "path").agg(F.min("doc_id").alias("own")), "substring-paths")
     branching = repeats.filter("branches").join(split, ["edge", "path"])
     whole = F.struct("first", (F.col("n") + F.lit(window - 1)).alias("n"))
-    spans = repeats.filter("NOT branches AND least < doc_id").select("doc_id", whole.alias("span"))
-    spans = spans.unionByName(branching.filter("own < doc_id").select("doc_id", whole.alias("span")))
+    spans = repeats.filter("NOT branches AND least < doc_id").select("doc_id", "row", whole.alias("span"))
+    spans = spans.unionByName(branching.filter("own < doc_id").select("doc_id", "row", whole.alias("span")))
     # the first document of a path of a branching edge: its windows may be those of another path
-    single = branching.filter("own = doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("at"))
-    seen_windows = written(windows(docs.join(single, "doc_id").select("doc_id", "text", "at"), window), "substring-windows")
+    single = branching.filter("own = doc_id").groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("at"))
+    seen_windows = written(windows(docs.join(single, ["doc_id", "row"]).select("doc_id", "row", "text", "at"), window), "substring-windows")
     oldest = seen_windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("d1")).filter(F.col("least") < F.col("d1")).drop("d1")
     oldest = written(oldest, "substring-oldest")
     later = seen_windows.join(oldest, ["high", "low"]).filter(F.col("least") < F.col("doc_id"))
-    spans = spans.unionByName(later.select("doc_id", F.struct(F.col("at").alias("first"), F.lit(window).alias("n")).alias("span")))
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    spans = spans.unionByName(later.select("doc_id", "row", F.struct(F.col("at").alias("first"), F.lit(window).alias("n")).alias("span")))
+    return spans.groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with n_words and n_removed; the text of a document that loses words is the rest with one space between, others keep theirs."""
     docs = tidy(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = repeated_spans(docs.select("doc_id", "text"), window, k).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == spans["__doc"], "left").drop("__doc")
+    spans = repeated_spans(docs.select("doc_id", "text"), window, k).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, (docs["doc_id"] == spans["__doc"]) & (F.xxhash64(docs["text"]) == spans["__row"]), "left").drop("__doc", "__row")
 
     def make():
         def f(batch: pa.RecordBatch) -> dict[str, list]:

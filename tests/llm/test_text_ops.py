@@ -63,6 +63,23 @@ def test_substrings_of_odd_rows(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect())
     assert got == [(-1, 0), (4, 0), (4, 0), (9, 80)]
     assert substring_dedup.dedup_substrings(frame(spark, rows).limit(0)).count() == 0
+    # rows that share an id and have other texts are each judged by their own
+    long = " ".join(f"l{i}" for i in range(200))
+    rows = [(1, long), (5, f"x y z {long}"), (5, "tiny text"), (5, " ".join(f"m{i}" for i in range(220))), (6, " ".join(f"m{i}" for i in range(100, 220)))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect())
+    assert got == [(1, 200, 0), (5, 2, 0), (5, 203, 200), (5, 220, 0), (6, 120, 120)]
+
+
+def test_lines_of_repeated_ids_like_sql(spark, tmp_path):
+    import duckdb
+
+    line = "a line that is long enough to be counted, and repeated"
+    rows = [(1, line)] * 5 + [(7, f"{line}\nown"), (7, "other"), (8, None)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    out = line_dedup.dedup_lines(docs, n_batches=3)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, sha(r.text or "")) for r in out.collect()) == sorted(duckdb.sql(line_dedup.SQL).fetchall())
 
 
 @pytest.mark.parametrize("batches", [1, 2, 4])
