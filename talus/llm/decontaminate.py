@@ -1,10 +1,11 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
-The items' windows of 13 words (or all words of a shorter item) become hashes in a sorted array. Training text is
-cut into words, each word looked up in the benchmark's vocabulary, and windows of known words are hashed and
-searched in the array; every hit is verified word by word. What is broadcast is bounded: a benchmark of
+The items' windows of 13 words (or all words of a shorter item) become hashes in a sorted array, beside their places in one array
+of word numbers. Training text is cut into words, each word looked up in the benchmark's vocabulary, and windows of known words are
+hashed and searched in the array; every hit is verified word by word. What is broadcast is bounded: a benchmark of
 more than SLICE_BYTES is dealt into slices by item, and each slice passes over the documents in turn, adding
-to their hits, so any size works without a larger broadcast.
+to their hits. What a pass adds is written before the next one, so that a task never holds more than one slice, and any size works.
+A single item is never cut, so a slice may be larger by one item's text.
 
 Results that are defined here: a null or empty text has no words and isn't contaminated; an item without words or
 with a null id never hits; items with the same id count once; repeated documents are judged row by row; with an empty
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, table, tidy
+from .common import extend, table, tidy, written
 
 WINDOW = 13
 #: A document is contaminated if at least a 20th of its words is hit.
@@ -48,38 +49,63 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a slice of the benchmark."""
+    """The windows of a slice of the benchmark, as arrays: of each distinct one its hash, a place of its words and the items that hold it."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item_id for item_id, _ in items})
+        number = {item_id: k for k, item_id in enumerate(self.names)}
+        texts, by_length, size = [np.zeros(0, np.uint32)], {}, 0
         for item_id, text in items:
-            own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text.encode())]
+            own = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(text.encode())], np.uint32)
             n = min(window, len(own))
-            for i in range(len(own) - n + 1 if own else 0):
-                self.items.setdefault(tuple(own[i : i + n]), set()).add(item_id)
-        self.sorted = {}
-        for n in sorted({len(w) for w in self.items}):
-            own = np.array([w for w in self.items if len(w) == n], np.uint64)
-            self.sorted[n] = np.unique(np.concatenate([_hashes(row, n) for row in own]))
+            if n:
+                count = len(own) - n + 1
+                by_length.setdefault(n, []).append((_hashes(own, n), np.arange(size, size + count), np.full(count, number[item_id], np.int32)))
+                texts.append(own)
+                size += len(own)
+        self.words = np.concatenate(texts)
+        self.sorted = {n: self._grouped(n, *(np.concatenate(x) for x in zip(*by_length[n], strict=True))) for n in sorted(by_length)}
+
+    def _grouped(self, n: int, h: np.ndarray, place: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hashes in order, first places, and where each one's items start among all items. Different windows with one hash have entries of their own."""
+        order = np.lexsort((item, h))
+        h, place, item = h[order], place[order], item[order]
+        same = np.concatenate([[False], h[1:] == h[:-1]])
+        at = np.flatnonzero(same)
+        for j in range(n):
+            at = at[self.words[place[at] + j] == self.words[place[at - 1] + j]]
+        same[:] = False
+        same[at] = True
+        keep = ~(same & np.concatenate([[False], item[1:] == item[:-1]]))
+        first = np.flatnonzero(~same[keep])
+        return h[keep][first], place[keep][first], np.append(first, int(keep.sum())), item[keep]
 
     def hits(self, text_words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words, and ids of items."""
         spans, found = [], set()
         if not self.ids or not text_words:
             return spans, found
-        ids = np.fromiter(map(self.ids.get, text_words, repeat(0)), np.uint64, len(text_words))
+        ids = np.fromiter(map(self.ids.get, text_words, repeat(0)), np.uint32, len(text_words))
         strange = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, known in self.sorted.items():
+        for n, (known, place, start, item) in self.sorted.items():
             if len(ids) < n or not (clear := strange[n:] == strange[:-n]).any():
                 continue
             at = np.flatnonzero(clear)
             h = _hashes(ids, n)[at]
-            i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for p in at[known[i] == h].tolist():
-                if items := self.items.get(tuple(ids[p : p + n].tolist())):
-                    spans.append((p, p + n))
-                    found |= items
+            low = np.searchsorted(known, h)
+            hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h)
+            seen = set()
+            for p, g in zip(at[hit].tolist(), low[hit].tolist(), strict=True):
+                own = ids[p : p + n]
+                same = known[g]
+                while g < len(known) and known[g] == same:
+                    if np.array_equal(self.words[place[g] : place[g] + n], own):
+                        spans.append((p, p + n))
+                        seen.add(g)
+                    g += 1
+            for g in seen:
+                found.update(self.names[k] for k in item[start[g] : start[g + 1]].tolist())
         return spans, found
 
 
@@ -129,6 +155,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         own = "n_words long, n_hit long, items array<string>, contaminated boolean, clean_text string"
         out = extend(out, make, own if last else "__from array<int>, __to array<int>, __items array<string>", drop=("__from", "__to", "__items") if last else ())
+        if not last:
+            out = written(out, "decontaminate")
     return out if clean else out.drop("clean_text")
 
 
