@@ -94,13 +94,13 @@ class Changes:
         if conflict:
             return self._upsert(t, new, list(conflict), returning)
         if t.kind == "partitioned":
-            count = self._route(t, new)
+            self._route(t, new)
         else:
             self._validate(t, new)
             old = self._rids(t)
             self._unique(t, old, new)
             self.state.tables[name] = replace(t, df=self._version(t, old.unionByName(new)))
-            count = new.count()
+        count = new.count()
         self._fire(t, "AFTER INSERT", new)
         return e.Result(message, count, self._returning(t, new, returning))
 
@@ -129,61 +129,113 @@ class Changes:
         return self.spark.sql(e.rewrite(f"SELECT {returning} FROM __returned AS {t.name}"))
 
     def _upsert(self, t, new, conflict, returning):
-        keys = [p[0].text.lower() for p in e.split(conflict[2].inside)] if conflict[2].kind == "(" else list(t.keys[0])
+        before, touched = dict(self.state.tables), new.limit(0)
+        try:  # rows that conflict lie in the same partition, as its keys hold the partition's
+            for own, rows in self._dealt(t, new) if t.kind == "partitioned" else [(t, new)]:
+                touched = touched.unionByName(self._merge(own, rows, conflict, t))
+        except Exception:
+            self.state.tables = before
+            raise
+        return e.Result("INSERT", touched.count(), self._returning(t, touched, returning))
+
+    def _merge(self, t, new, conflict, named) -> DataFrame:
+        """The rows that t, which is the relation named or a partition of it, gets or changes."""
+        target = conflict[2].kind == "("
+        keys = [p[0].text.lower() for p in e.split(conflict[2].inside)] if target else list(named.keys[0])
         at = _at(conflict, "DO")
         old, on = self._rids(t), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
         if conflict[at + 1].word("NOTHING"):
-            first = new.dropDuplicates(keys)
-            fresh = e.written(first.join(old.select(*keys), keys, "left_anti").select(*new.columns), f"{t.name}-fresh")
+            fresh = new
+            for key in [keys] if target else named.keys:  # a null conflicts with nothing
+                whole = F.lit(True)
+                for k in key:
+                    whole = whole & F.col(k).isNotNull()
+                fresh = fresh.filter(~whole).unionByName(fresh.filter(whole).dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti").select(*new.columns))
+            fresh = e.written(fresh, f"{t.name}-fresh")
             self._validate(t, fresh)
-            self.state.tables[t.name] = replace(t, df=self._version(t, old.unionByName(fresh)))
-            return e.Result("INSERT", fresh.count(), self._returning(t, fresh, returning))
-        if new.groupBy(*keys).count().filter("count > 1").limit(1).count():
+            self._unique(named, old, fresh)
+            self.state.tables[t.name] = replace(self._get(t.name), df=self._version(t, old.unionByName(fresh)))
+            self._fire(named, "AFTER INSERT", fresh)
+            return fresh
+        if new.dropna(subset=keys).groupBy(*keys).count().filter("count > 1").limit(1).count():
             raise e.EngineError("ON CONFLICT DO UPDATE would change a row twice")
         where = _at(conflict, "WHERE", start=at)
         sets = self._assignments(conflict[at + 3 : where])
         names = [c.name for c in t.columns]
         old.alias("o").join(new.alias("n"), on).select(F.col(f"o.{e.RID}").alias(e.RID), *[F.col(f"o.{c}").alias(c) for c in names], *[F.col(f"n.{c}").alias(f"excluded__{c}") for c in names]).createOrReplaceTempView("__conflict")
-        fix = lambda x: re.sub(rf"(?i)\b{t.name}\s*\.\s*(\w+)", r"\1", re.sub(r"(?i)\bexcluded\s*\.\s*(\w+)", lambda m: f"excluded__{m[1].lower()}", x))
+        fix = lambda x: re.sub(rf"(?i)\b{named.name}\s*\.\s*(\w+)", r"\1", re.sub(r"(?i)\bexcluded\s*\.\s*(\w+)", lambda m: f"excluded__{m[1].lower()}", x))
         cond = fix(e._text(conflict[where + 1 :])) if where < len(conflict) else "true"
         cols = ", ".join(f"CAST({fix(sets[c])} AS {k}) AS {c}" if c in sets else c for c, k in ((c.name, c.type) for c in t.columns))
         changed = e.written(self.spark.sql(e.rewrite(f"SELECT {cols}, {e.RID} FROM __conflict WHERE {cond}")), f"{t.name}-changed")
-        fresh = new.join(old.select(*keys), keys, "left_anti").select(*new.columns)
-        touched = e.written(changed.unionByName(fresh.select(*changed.columns)), f"{t.name}-touched")
+        if t.name != named.name and changed.filter(f"NOT coalesce(({dict((c.name, x) for c, x in self._parts(named))[t.name]}), false)").limit(1).count():
+            raise e.ConstraintError(f"ON CONFLICT may not move a row out of {t.name}")
+        fresh = e.written(new.join(old.select(*keys), keys, "left_anti").select(*changed.columns), f"{t.name}-fresh")
+        touched = changed.unionByName(fresh)
         self._validate(t, touched)
-        self.state.tables[t.name] = replace(t, df=self._version(t, old.join(changed.select(e.RID), e.RID, "left_anti").unionByName(touched)))
-        return e.Result("INSERT", touched.count(), self._returning(t, touched, returning))
+        kept = old.join(changed.select(e.RID), e.RID, "left_anti")
+        self._unique(named, kept, touched)
+        self.state.tables[t.name] = replace(self._get(t.name), df=self._version(t, kept.unionByName(touched)))
+        self._fire(named, "AFTER INSERT", fresh)
+        self._fire(named, "AFTER UPDATE", changed)
+        return touched
 
     # partitions
 
     def _bound(self, child, keys) -> str:
         """The condition of a partition's rows."""
         tree = e.parse(child.bound)
-        key = keys[0]
         if any(x.word("DEFAULT") for x in tree):
             return ""
         groups = [x.inside for x in tree if x.kind == "("]
         if any(x.word("IN") for x in tree):
-            return f"{key} IN ({e._text(groups[0])})"
+            values = [e._text(v) for v in e.split(groups[0])]
+            known = ", ".join(v for v in values if v.upper() != "NULL")
+            return " OR ".join([*([f"coalesce({keys[0]} IN ({known}), false)"] if known else []), *([f"{keys[0]} IS NULL"] if len(known) < len(", ".join(values)) else [])])
         if any(x.word("MODULUS") for x in tree):
             m, r = (int(x.text) for x in groups[0] if x.kind == "number")
             return f"pmod(xxhash64({', '.join(keys)}), {m}) = {r}"
-        low, high = e._text(groups[0]), e._text(groups[1])
-        return " AND ".join([*([f"{key} >= {low}"] if low.upper() != "MINVALUE" else []), *([f"{key} < {high}"] if high.upper() != "MAXVALUE" else []), f"{key} IS NOT NULL"])
+        low, high = ([e._text(v) for v in e.split(g)] for g in groups[:2])
+        return " AND ".join([self._beside(keys, low, ">"), self._beside(keys, high, "<"), *(f"{k} IS NOT NULL" for k in keys)])
+
+    def _beside(self, keys, values, op: str) -> str:
+        """Keys at or above values (>), or below them (<), compared one key after another."""
+        terms, equal = [], []
+        for k, v in zip(keys, values, strict=True):
+            if v.upper() in ("MINVALUE", "MAXVALUE"):
+                if (v.upper() == "MINVALUE") == (op == ">"):
+                    terms.append(" AND ".join(equal) or "true")
+                break
+            terms.append(" AND ".join([*equal, f"{k} {op} {v}"]))
+            equal.append(f"{k} = {v}")
+        else:
+            terms += [" AND ".join(equal)] if op == ">" else []
+        return f"({' OR '.join(terms) or 'false'})"
 
-    def _route(self, t, new) -> int:
+    def _parts(self, t) -> list:
+        """The partitions of t, each with the condition of its rows."""
         children = [c for c in self.state.tables.values() if c.parent == t.name]
         known = {c.name: e.expression(b) for c in children if (b := self._bound(c, t.part_keys))}
-        rest, total = new, 0
-        for c in children:
-            own = new.filter(known[c.name]) if c.name in known else new.filter(" AND ".join(f"NOT coalesce(({b}), false)" for b in known.values()) or "true")
-            if n := own.count():
-                total += n
-                self._validate(c, own)
-                self.state.tables[c.name] = replace(c, df=self._version(c, c.df.unionByName(own)))
-        if total != rest.count():
+        rest = " AND ".join(f"NOT coalesce(({b}), false)" for b in known.values()) or "true"
+        return [(c, known.get(c.name, rest)) for c in children]
+
+    def _dealt(self, t, new) -> list:
+        """The partitions of t that get rows of new, each with its rows."""
+        dealt = [(c, new.filter(cond)) for c, cond in self._parts(t)]
+        counts = [own.count() for _, own in dealt]
+        if sum(counts) != new.count():
             raise e.ConstraintError(f"a row fits no partition of {t.name}")
-        return total
+        return [x for x, n in zip(dealt, counts, strict=True) if n]
+
+    def _route(self, t, new) -> None:
+        """New rows go to their partitions, if all may."""
+        dealt = self._dealt(t, new)
+        self._unique(t, self._stored(t), new)
+        for c, own in dealt:
+            self._validate(c, own)
+            self._unique(c, self._rids(c), own)
+        for c, own in dealt:
+            c = self._get(c.name)
+            self.state.tables[c.name] = replace(c, df=self._version(c, c.df.unionByName(own)))
 
     # updates and deletes
 
@@ -225,6 +277,8 @@ class Changes:
         sources = e._text(tree[frm + 1 : min(where, ret)]) if frm < len(tree) else ""
         names = {c.name: c for c in t.columns}
         total, touched = 0, None
+        before, moved = dict(self.state.tables), None
+        bounds = {c.name: x for c, x in self._parts(t)} if t.kind == "partitioned" else {}
         for own in [t, *(c for c in self.state.tables.values() if c.parent == t.name)]:
             select = ", ".join(f"CAST({self._default(t, c) if sets[n].upper() == 'DEFAULT' else sets[n]} AS {c.type}) AS {n}" if n in sets else f"{alias}.{n} AS {n}" for n, c in names.items() if c.generated is None)
             changed = self._matched(own, alias, select, sources, e._text(tree[where + 1 : ret]) if where < len(tree) else "", "UPDATE", t)
@@ -237,9 +291,20 @@ class Changes:
             self._validate(t, changed)
             self._unique(t, kept, changed)
             self._referenced(t, sets, own, changed)
-            self.state.tables[own.name] = replace(self._get(own.name), df=self._version(own, kept.select(*names, e.RID).unionByName(changed)))
+            stays = changed
+            if own.name in bounds:
+                leaves = f"NOT coalesce(({bounds[own.name]}), false)"
+                stays, gone = changed.filter(f"NOT ({leaves})"), changed.filter(leaves)
+                moved = gone if moved is None else moved.unionByName(gone)
+            self.state.tables[own.name] = replace(self._get(own.name), df=self._version(own, kept.select(*names, e.RID).unionByName(stays)))
             total += changed.count()
             touched = changed if touched is None else touched.unionByName(changed)
+        if moved is not None and moved.limit(1).count():
+            try:
+                self._route(t, moved)
+            except Exception:
+                self.state.tables = before
+                raise
         self._fire(t, "AFTER UPDATE", touched)
         return e.Result("UPDATE", total, self._returning(t, touched, e._text(tree[ret + 1 :])))
 

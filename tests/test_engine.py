@@ -193,3 +193,29 @@ def test_policies_of_changes_and_serial_defaults(db):
     db.script("CREATE TABLE q (id SERIAL, n INT); CREATE TABLE r (id SERIAL, n INT); INSERT INTO q (n) VALUES (1); INSERT INTO q VALUES (DEFAULT, 2); INSERT INTO r VALUES (DEFAULT, 3); INSERT INTO q (n) VALUES (4)")
     assert rows(db.sql("SELECT id, n FROM q")) == [(1, 1), (2, 2), (3, 4)]
     assert rows(db.sql("SELECT id, n FROM r")) == [(1, 3)]
+
+
+def test_rows_of_partitioned_tables(db):
+    db.script("CREATE TABLE e (k INT, j INT, v TEXT, PRIMARY KEY (k, j)) PARTITION BY RANGE (k, j); CREATE TABLE e1 PARTITION OF e FOR VALUES FROM (0, 0) TO (10, 5); CREATE TABLE e2 PARTITION OF e FOR VALUES FROM (10, 5) TO (MAXVALUE, MAXVALUE)")
+    db.sql("INSERT INTO e VALUES (10, 4, 'a'), (10, 5, 'b'), (2, 90, 'c')")
+    assert rows(db.sql("SELECT v FROM e1")) == [("a",), ("c",)] and rows(db.sql("SELECT v FROM e2")) == [("b",)]
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO e VALUES (10, 4, 'again')")
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO e VALUES (-1, 0, 'nowhere')")
+    assert db.sql("INSERT INTO e VALUES (2, 90, 'd'), (11, 0, 'e') ON CONFLICT (k, j) DO UPDATE SET v = e.v || excluded.v").count == 2
+    assert rows(db.sql("SELECT v FROM e1")) == [("a",), ("cd",)] and rows(db.sql("SELECT v FROM e2")) == [("b",), ("e",)]
+    assert db.sql("INSERT INTO e VALUES (2, 90, 'x') ON CONFLICT DO NOTHING").count == 0
+    assert db.sql("UPDATE e SET k = 20 WHERE v = 'a'").count == 1
+    assert rows(db.sql("SELECT v FROM e1")) == [("cd",)] and rows(db.sql("SELECT k, v FROM e2")) == [(10, "b"), (11, "e"), (20, "a")]
+    with pytest.raises(ConstraintError):
+        db.sql("UPDATE e SET k = -5 WHERE v = 'e'")
+    assert rows(db.sql("SELECT v FROM e")) == [("a",), ("b",), ("cd",), ("e",)]
+
+
+def test_upserts_keep_other_keys(db):
+    db.script("CREATE TABLE u (a INT PRIMARY KEY, b INT UNIQUE); INSERT INTO u VALUES (1, 1), (2, 2)")
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO u VALUES (1, 9) ON CONFLICT (a) DO UPDATE SET b = 2")
+    assert db.sql("INSERT INTO u VALUES (3, 2), (4, NULL), (5, NULL) ON CONFLICT DO NOTHING").count == 2
+    assert rows(db.sql("SELECT a FROM u")) == [(1,), (2,), (4,), (5,)]
