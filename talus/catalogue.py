@@ -43,7 +43,7 @@ q("filter_is_not_distinct", "SELECT event_id FROM events WHERE nullif(event_type
 q("filter_bool_test", "SELECT event_id FROM events WHERE (nullif(event_type, 'view') = 'click') IS NOT TRUE AND (value > 1) IS TRUE AND (value < 0) IS FALSE")
 q("filter_null_logic", "SELECT event_id FROM events WHERE NOT (nullif(event_type, 'view') = 'click') OR nullif(event_type, 'error') IS NULL")
 q("filter_index_key", "SELECT * FROM orders WHERE o_orderkey = 7")
-q("row_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) < (20, 3)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ROW(l_orderkey, l_linenumber) < ROW(20, 3)")
+q("row_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity, l_linenumber) < (25, 3)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 25 OR l_quantity = 25 AND l_linenumber < 3")
 q("values_table", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS v(a, b)")
 q("result_row", "SELECT 1 + 1 AS two, 'a' || 'b' AS ab")
 q("select_star_alias", "SELECT * FROM region AS r(k, n)")
@@ -131,13 +131,13 @@ q("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalp
 q("order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 17")
 q("order_offset", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 10 OFFSET 25")
 q("order_fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC OFFSET 3 ROWS FETCH FIRST 5 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5 OFFSET 3")
-q("order_nulls", "SELECT event_id FROM events ORDER BY nullif(event_type, 'view'), event_id LIMIT 50", "SELECT event_id FROM events ORDER BY nullif(event_type, 'view') NULLS LAST, event_id LIMIT 50")
+q("order_nulls", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY nullif(event_type, 'view'), event_id) AS n FROM events", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY nullif(event_type, 'view') NULLS LAST, event_id) AS n FROM events")
 q("for_update", "SELECT r_name FROM region FOR UPDATE", "SELECT r_name FROM region")
 # common table expressions
 q("cte_simple", "WITH b AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT count(*) AS n FROM b WHERE s > 100000")
 q("cte_multi", "WITH a(k) AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1), b AS (SELECT k FROM a WHERE k > 5) SELECT c_custkey FROM customer JOIN b ON c_nationkey = b.k")
 q("cte_recursive_counter", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 400) SELECT CAST(sum(n) AS BIGINT) AS s FROM t")
-q("cte_recursive_hierarchy", "WITH RECURSIVE t(k, d) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT p_partkey, d + 1 FROM t JOIN part ON p_partkey IN (2 * k, 2 * k + 1) WHERE d < 6) SELECT k, d FROM t")
+q("cte_recursive_hierarchy", "WITH RECURSIVE t(k, d) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT p_partkey, d + 1 FROM t JOIN part ON p_partkey IN (2 * k, 2 * k + 1)) SELECT k, d FROM t")
 q("cte_recursive_distinct", "WITH RECURSIVE t(k) AS (SELECT 0 UNION SELECT (n_nationkey * 7 + 3) % 25 FROM nation JOIN t ON n_nationkey = t.k) SELECT k FROM t")
 # strings
 _D = "SELECT doc_id, {} AS x FROM documents"
@@ -205,6 +205,8 @@ for _n, _s, _o in (
 q("json_row_to_json", "SELECT r_regionkey, row_to_json(struct(r_regionkey, r_name)) AS j FROM region", "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS j FROM region")
 # text search
 q("fts_match", "SELECT doc_id FROM documents WHERE to_tsvector('simple', text) @@ to_tsquery('the & of')", "SELECT doc_id FROM documents WHERE list_has_all(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), ['the', 'of'])")
+q("fts_boolean", "SELECT doc_id FROM documents WHERE to_tsvector(text) @@ to_tsquery('(the | de) & !of')", "SELECT doc_id FROM (SELECT doc_id, list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) AS w FROM documents) WHERE list_has_any(w, ['the', 'de']) AND NOT list_contains(w, 'of')")
+q("fts_phrase", "SELECT doc_id FROM documents WHERE to_tsvector(text) @@ to_tsquery('of <-> the')", "SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: w <> ''), ' ') || ' ', ' of the ')")
 q("fts_rank", "SELECT doc_id, ts_rank(to_tsvector(text), plainto_tsquery('de la')) AS x FROM documents", "SELECT doc_id, CAST(list_has_all(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), ['de', 'la']) AS DOUBLE) AS x FROM documents")
 q("fts_vector", "SELECT to_tsvector('The cat, the hat!') AS v, to_tsquery('a & b') AS t, ts_headline('x y') AS h", "SELECT '''the'':1,3 ''cat'':2 ''hat'':4' AS v, '''a'' & ''b''' AS t, 'x y' AS h")
 # networks, ranges, XML, shapes
@@ -269,6 +271,8 @@ change("ddl_view", ["CREATE VIEW v AS SELECT n_name AS a, n_regionkey + 1 AS b F
 change("ddl_matview", ["CREATE MATERIALIZED VIEW m AS SELECT count(*) AS n FROM region", "DELETE FROM region WHERE r_regionkey = 0", "REFRESH MATERIALIZED VIEW m"], "SELECT n FROM m", "SELECT count(*) - 1 AS n FROM region")
 change("ddl_alter", ["ALTER TABLE region ADD COLUMN x INT DEFAULT 4", "ALTER TABLE region RENAME COLUMN r_name TO nm", "ALTER TABLE region ALTER COLUMN x TYPE BIGINT"], "SELECT r_regionkey, nm, x FROM region", "SELECT r_regionkey, r_name AS nm, 4::BIGINT AS x FROM region")
 change("ddl_partitions", ["CREATE TABLE e (k BIGINT, v TEXT) PARTITION BY LIST (v)", "CREATE TABLE e1 PARTITION OF e FOR VALUES IN ('view', 'click')", "CREATE TABLE e2 PARTITION OF e DEFAULT", "INSERT INTO e SELECT event_id, event_type FROM events"], "SELECT 1 AS p, count(*) AS n FROM e1 UNION ALL SELECT 2, count(*) FROM e2 UNION ALL SELECT 0, count(*) FROM e", "SELECT 1 AS p, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS n FROM events UNION ALL SELECT 2, count(*) FILTER (WHERE event_type NOT IN ('view', 'click')) FROM events UNION ALL SELECT 0, count(*) FROM events")
+change("dml_partition_move", ["CREATE TABLE e (k BIGINT, v TEXT) PARTITION BY LIST (v)", "CREATE TABLE e1 PARTITION OF e FOR VALUES IN ('view', 'click')", "CREATE TABLE e2 PARTITION OF e DEFAULT", "INSERT INTO e SELECT event_id, event_type FROM events", "UPDATE e SET v = 'moved' WHERE v = 'view' AND k % 3 = 0"], "SELECT 1 AS p, k, v FROM e1 UNION ALL SELECT 2, k, v FROM e2", "SELECT CASE WHEN v IN ('view', 'click') THEN 1 ELSE 2 END AS p, k, v FROM (SELECT event_id AS k, CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'moved' ELSE event_type END AS v FROM events)")
+change("dml_partition_upsert", ["CREATE TABLE e (k BIGINT, v TEXT, PRIMARY KEY (k)) PARTITION BY RANGE (k)", "CREATE TABLE e1 PARTITION OF e FOR VALUES FROM (MINVALUE) TO (100)", "CREATE TABLE e2 PARTITION OF e FOR VALUES FROM (100) TO (MAXVALUE)", "INSERT INTO e SELECT c_custkey, c_mktsegment FROM customer", "INSERT INTO e SELECT c_custkey + 50, 'new' FROM customer ON CONFLICT (k) DO UPDATE SET v = e.v || excluded.v"], "SELECT 1 AS p, k, v FROM e1 UNION ALL SELECT 2, k, v FROM e2", "SELECT CASE WHEN coalesce(c.c_custkey, o.c_custkey + 50) < 100 THEN 1 ELSE 2 END AS p, coalesce(c.c_custkey, o.c_custkey + 50) AS k, coalesce(c.c_mktsegment, '') || CASE WHEN o.c_custkey IS NULL THEN '' ELSE 'new' END AS v FROM customer AS c FULL JOIN customer AS o ON c.c_custkey = o.c_custkey + 50")
 change("txn_rollback", ["BEGIN", "DELETE FROM region", "SAVEPOINT a", "INSERT INTO region VALUES (7, 'q')", "ROLLBACK"], "SELECT * FROM region", "SELECT * FROM region")
 change("security_delete_policy", ["CREATE ROLE ann", "GRANT SELECT, DELETE ON customer TO ann", "ALTER TABLE customer ENABLE ROW LEVEL SECURITY", "CREATE POLICY s ON customer FOR SELECT USING (true)", "CREATE POLICY u ON customer FOR UPDATE USING (true)", "CREATE POLICY d ON customer FOR DELETE USING (c_nationkey < 9)", "SET ROLE ann", "DELETE FROM customer WHERE c_acctbal > 0"], "SELECT c_custkey FROM customer", "SELECT c_custkey FROM customer WHERE NOT (c_nationkey < 9 AND c_acctbal > 0)")
 change("security_update_check", ["CREATE ROLE ann", "GRANT SELECT, UPDATE ON customer TO ann", "ALTER TABLE customer ENABLE ROW LEVEL SECURITY", "CREATE POLICY s ON customer FOR SELECT USING (true)", "CREATE POLICY u ON customer FOR UPDATE USING (c_nationkey < 9) WITH CHECK (c_mktsegment = 'ONE')", "SET ROLE ann", "UPDATE customer SET c_mktsegment = 'ONE'"], "SELECT c_custkey, c_mktsegment FROM customer", "SELECT c_custkey, CASE WHEN c_nationkey < 9 THEN 'ONE' ELSE c_mktsegment END AS c_mktsegment FROM customer")
