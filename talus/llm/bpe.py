@@ -2,8 +2,10 @@
 
 A short word is held as the list of its parts and the list of the ranks of adjacent pairs. The smallest rank is
 searched by a scan, the boundary between its two parts deleted, and the ranks on either side refreshed, until no pair can
-merge. Words of more than SCAN_PARTS parts take a heap over a linked list instead, which merges in the same order without
-quadratic time. Pieces between white space are cached by each task, up to CACHE entries.
+merge. Words of one length are the columns of such arrays and merge together, one pair each at a time; fewer than FEW are
+taken one by one. Words of more than SCAN_PARTS parts take a heap over a linked list instead, which merges in the same order
+without quadratic time. Pieces between white space are numbered as they come and cached by each worker; the cache is emptied
+after a batch that leaves more than CACHE pieces or 16 times as many letters or ids, and within one beyond twice as many pieces.
 
 It reads tokenizer files of this make: NFC, white space, lower case; a split pattern; byte level; BPE with word ends. Others
 raise ValueError.
@@ -15,14 +17,17 @@ Special tokens in a text are found as the file says. A column named like a new o
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 import unicodedata
-from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,9 @@ from .common import caches, extend, table, tidy
 
 SCAN_PARTS = 64
 CACHE = 400_000
+FEW = 24
+#: Runs of ids that are put together at once, which bounds the memory of their places.
+RUNS = 1 << 17
 _NONE = 1 << 40
 #: White_Space of Unicode; Python's isspace() has four more.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,6 +69,55 @@ def classes() -> dict[str, str | dict[str, str]]:
     return out
 
 
+def _taken(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after another."""
+    out, so_far = np.empty(int(sizes.sum()), flat.dtype), 0
+    for k in range(0, len(sizes), RUNS):
+        n = sizes[k : k + RUNS]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[k : k + RUNS] - ends + n, n)
+        at += np.arange(len(at))
+        out[so_far : so_far + len(at)] = flat[at]
+        so_far += len(at)
+    return out
+
+
+def _sums(sizes: np.ndarray, counts: Iterable[int]) -> np.ndarray:
+    """Sums of as many sizes as counts say, one after another."""
+    return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])])
+
+
+class Ranks:
+    """Ranks of pairs of ids, by open addressing, for whole arrays."""
+
+    def __init__(self, ranks: dict[int, int]):
+        self.bits = max(8, (4 * len(ranks)).bit_length())
+        self.keys = np.full(1 << self.bits, -1)
+        self.ranks = np.full(1 << self.bits, -1, np.int32)
+        left, value = np.array([*ranks], np.int64), np.array([*ranks.values()], np.int32)
+        at = self._home(left)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.ranks[at[free]] = left[free], value[free]
+            lost = self.keys[at] != left  # one got the place, if it was free
+            left, value, at = left[lost], value[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1: no such pair."""
+        keys = (a.astype(np.int64) << 20 | b).ravel()
+        at = self._home(keys)
+        there, out = self.keys[at], self.ranks[at]
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            there[rest], out[rest] = self.keys[at[rest]], self.ranks[at[rest]]
+            rest = rest[(there[rest] != keys[rest]) & (there[rest] >= 0)]
+        return out.reshape(a.shape)
+
+
 class Bpe:
     def __init__(self, text: str, letters: dict[str, str | dict[str, str]] | None = None):
         """letters: those of classes(), by default made here."""
@@ -79,10 +136,10 @@ class Bpe:
             pattern = pattern.replace(name, letters[name])
         if "\\p" in pattern:
             raise ValueError("a split pattern of another make")
-        self.pattern = re.compile(pattern)
+        self.pattern = re.compile(f"{pattern}|\n")
         self.lower = str.maketrans(letters["lower"])
-        self.strange = re.compile("[" + "".join(letters["lower"]) + "]") if letters["lower"] else None
-        self.alpha = re.compile(f"[{letters['\\p{L}']}]+")
+        self.strange = np.zeros(0x110000, bool)
+        self.strange[[*map(ord, letters["lower"])]] = True
         self.spaces = re.compile(f"[{_SPACE}]+")
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -93,8 +150,11 @@ class Bpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in reversed([*enumerate(pairs)])}
         self.made = [vocab[a + b] for a, b in pairs]
-        self.cache: dict[str, bytes] = {}
-        self.ends = {c: array("i", self.word(c)).tobytes() for c in ".,"}
+        self.table, self.all_made = Ranks(self.ranks), np.array(self.made, np.int32)
+        self.all_inner, self.all_last = np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        names = [self.tokens.get(i) for i in range(max(self.tokens, default=-1) + 1)]
+        self.names, self.named = pa.array(names, pa.string()), np.array([x is not None for x in names], bool)
+        self._empty()
 
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
@@ -131,33 +191,132 @@ class Bpe:
                     heapq.heappush(heap, (q, a))
         return [p for p in parts if p >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ".," and self.alpha.fullmatch(piece, 0, len(piece) - 1) and (known := self.cache.get(piece[:-1])):
-            out = known + self.ends[piece[-1]]
-        elif piece.isascii() and piece.isalpha():
-            out = array("i", self.word(piece)).tobytes()
-        else:
-            out = array("i", [i for w in self.pattern.findall(piece) for i in self.word(w)]).tobytes()
-        if len(piece) <= 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[piece] = out
-        return out
-
-    def _plain(self, text: str) -> bytes:
+    def _empty(self) -> None:
+        """No piece is known but the special tokens, which have a blank before them, as no piece has."""
+        self.cache: dict[str, int] = defaultdict(itertools.count().__next__)
+        for x in self.special:
+            self.cache[f" {x}"]
+        self.ids = np.array([*self.special.values()], np.int32)
+        self.starts, self.sizes = np.arange(len(self.special)), np.ones(len(self.special), np.int64)
+        self.letters = 0
+
+    def _column(self, parts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Merges words of one length, which are columns: numbers of words and their ids, for those that end with as many parts."""
+        out, at, rank = [], np.arange(parts.shape[1]), self.table.of
+        none, places = 1 << 24, np.arange(len(parts), dtype=np.int32)[:, None]
+
+        def keys(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:  # rank and place, so that the least is the leftmost
+            found = rank(a, b)
+            return np.where(found < 0, none, found) << 6 | place
+
+        ranks = keys(parts[:-1], parts[1:], places[: len(parts) - 1])
+        while len(parts) > 1 and len(at):
+            low = ranks.min(axis=0)
+            live = low < none << 6
+            if not live.all():
+                out.append((at[~live], parts[:, ~live]))
+                at, parts, ranks, low = at[live], parts[:, live], ranks[:, live], low[live]
+            n, i, columns = len(parts), low & 63, np.arange(len(at))
+            parts[i, columns] = self.all_made[low >> 6]
+            parts = np.where(places[: n - 1] > i, parts[1:], parts[:-1])
+            ranks = np.where(places[: n - 2] < i, ranks[:-1], ranks[1:] - 1)
+            for here in (i - 1, i):
+                has = columns[(here >= 0) & (here < n - 2)]
+                j = here[has]
+                ranks[j, has] = keys(parts[j, has], parts[j + 1, has], j.astype(np.int32))
+        return [*out, (at, parts)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all, and where each word's begin and how many they are. No word is empty or has a line feed."""
+        raw = np.frombuffer("\n".join([*words, ""]).encode("utf-8"), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        length = ends - begins
+        starts, sizes, flat, so_far = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        order = np.argsort(length, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            n = int(length[group[0]])
+            if len(group) < FEW or n > SCAN_PARTS:
+                done = [(group[k : k + 1], np.array(self.word(words[w]), np.int32)[:, None]) for k, w in enumerate(group)]
+            else:
+                letters = raw[begins[group] + np.arange(n)[:, None]]
+                parts = np.concatenate([self.all_inner[letters[:-1]], self.all_last[letters[-1:]]])
+                done = [(group[at], x) for at, x in self._column(parts)]
+            for at, x in done:
+                sizes[at], starts[at] = len(x), so_far + len(x) * np.arange(len(at))
+                flat.append(x.T.ravel())
+                so_far += x.size
+        return np.concatenate(flat), starts, sizes
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces that just got the next numbers."""
+        numbers: dict[str, int] = defaultdict(itertools.count().__next__)
+        found = np.fromiter(map(numbers.__getitem__, ["\n", *self.pattern.findall("\n".join([*pieces, ""]))]), np.int64)
+        marks = np.flatnonzero(found == 0)
+        counts, found = np.diff(marks) - 1, found[found > 0] - 1
+        ids, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if len(found):
+            ids, starts, sizes = self.words([*numbers][1:])
+            ids, sizes = _taken(ids, starts[found], sizes[found]), sizes[found]
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, _sums(sizes, counts)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters += sum(map(len, pieces))
+
+    def _pieces(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
-        if self.strange and not text.isascii() and self.strange.search(text):
+        if not text.isascii() and self.strange[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
             text = text.translate(self.lower)
         text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        pieces = text.split() if not _ODD.search(text) else [x for x in self.spaces.split(text) if x]
-        get = self.cache.get
-        return b"".join([get(x) or self._piece(x) for x in pieces])
+        return text.split() if not _ODD.search(text) else [x for x in self.spaces.split(text) if x]
+
+    def encode_all(self, texts: list[str | None]) -> pa.Array:
+        """A list of ids for each text."""
+        counts, slots, sizes, ids = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+
+        def settle() -> None:
+            if new := len(self.cache) - len(self.sizes):
+                self._learn([*itertools.islice(reversed(self.cache), new)][::-1])
+            at = np.concatenate([np.zeros(0, np.int64), *slots])
+            slots.clear()
+            sizes.append(self.sizes[at])
+            ids.append(_taken(self.ids, self.starts[at], sizes[-1]))
+            if len(self.cache) > CACHE or max(self.letters, len(self.ids)) > 16 * CACHE:
+                self._empty()
+
+        for text in texts:
+            if not text:
+                pieces = []
+            elif self.marks is None or "<" not in text:
+                pieces = self._pieces(text)
+            else:
+                pieces = [p for k, x in enumerate(self.marks.split(text)) for p in ([f" {x}"] if k % 2 else self._pieces(x))]
+            counts.append(len(pieces))
+            for k in range(0, len(pieces), CACHE):
+                part = pieces[k : k + CACHE]
+                slots.append(np.fromiter(map(self.cache.__getitem__, part), np.int64, len(part)))
+                if len(self.cache) > 2 * CACHE:
+                    settle()
+        settle()
+        ends = np.cumsum([0, *_sums(np.concatenate(sizes), counts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
 
     def encode(self, text: str) -> bytes:
-        """Ids as 32-bit little-endian numbers."""
-        if self.marks is None or "<" not in text:
-            return self._plain(text)
-        return b"".join(np.array([self.special[x]], "<i4").tobytes() if k % 2 else self._plain(x) for k, x in enumerate(self.marks.split(text)))
+        """Ids of one text as 32-bit little-endian numbers, word by word; encode_all() is faster for many."""
+        out = []
+        for k, x in enumerate(self.marks.split(text) if self.marks else [text]):
+            out += [self.special[x]] if k % 2 else [i for p in self._pieces(x) for w in self.pattern.findall(p) for i in self.word(w)]
+        return np.array(out, "<i4").tobytes()
+
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """The text of each list of ids, as decode() gives it; of a null list the empty one."""
+        codes = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        known = (codes >= 0) & (codes < len(self.named))
+        known[known] = self.named[codes[known]]
+        if not known.all():
+            sizes, codes = _sums(known, sizes), codes[known]
+        ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, self.names.take(pa.array(codes))), " ")
 
     def decode(self, ids: list[int]) -> str:
         """Tokens with spaces between, as without a decoder; unknown ids are left out."""
@@ -177,45 +336,40 @@ def bpe_of(text: str, letters: dict[str, str | dict[str, str]]) -> Bpe:
     return _made[text]
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """docs with ids array<int>."""
-    docs = tidy(docs)
+def _extended(docs: DataFrame, tokenizer_path: str, columns: Callable[[Bpe, Callable[[str], pa.Array]], dict[str, pa.Array]], new: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with what columns gives for a batch, whose columns it gets by name."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast((f.read(), classes()))
 
     def make():
         bpe = bpe_of(*shipped.value)
+        return lambda batch: columns(bpe, lambda name: batch.column(batch.schema.get_field_index(name)))
 
-        def f(batch: pa.RecordBatch) -> dict[str, list]:
-            parts = [bpe.encode(t) if t else b"" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            ends = np.cumsum([0, *map(len, parts)]) // 4
-            return {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())).cast(pa.list_(pa.int32()))}
+    return extend(docs, make, new, drop)
 
-        return f
 
-    return extend(docs, make, "ids array<int>")
+def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """docs with ids array<int>."""
+    return _extended(tidy(docs), tokenizer_path, lambda bpe, of: {"ids": bpe.encode_all(of("text").to_pylist())}, "ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded with decoded, the text of its ids."""
-    encoded = tidy(encoded)
-    with open(tokenizer_path, encoding="utf-8") as f:
-        shipped = encoded.sparkSession.sparkContext.broadcast((f.read(), classes()))
+    return _extended(tidy(encoded), tokenizer_path, lambda bpe, of: {"decoded": bpe.decode_all(of("ids"))}, "decoded string")
 
-    def make():
-        bpe = bpe_of(*shipped.value)
 
-        def f(batch: pa.RecordBatch) -> dict[str, list]:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            return {"decoded": [bpe.decode(x or []) for x in ids.to_pylist()]}
+def there_and_back(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """decode() of encode() without the text, in one pass: ids don't go from one worker to another to be decoded."""
 
-        return f
+    def columns(bpe: Bpe, of: Callable[[str], pa.Array]) -> dict[str, pa.Array]:
+        ids = bpe.encode_all(of("text").to_pylist())
+        return {"ids": ids, "decoded": bpe.decode_all(ids)}
 
-    return extend(encoded, make, "decoded string")
+    return _extended(tidy(docs), tokenizer_path, columns, "ids array<int>, decoded string", drop=("text",))
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    out = decode(encode(tidy(docs).select("doc_id", "text"), tokenizer_path).drop("text"), tokenizer_path)
+    out = there_and_back(tidy(docs).select("doc_id", "text"), tokenizer_path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,3 +55,52 @@ def test_every_code_point_like_the_library():
     for k in range(0, len(texts), 4096):
         for t, e in zip(texts[k : k + 4096], tk.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False), strict=True):
             assert np.frombuffer(own.encode(t), "<i4").tolist() == e.ids, ascii(t)
+
+
+def test_batches_like_the_library(monkeypatch):
+    """Words that merge as columns, with a cache that is emptied again and again."""
+    monkeypatch.setattr(bpe, "CACHE", 500)
+    raw, draw = open(PATH, encoding="utf-8").read(), np.random.default_rng(7)
+    tk, own = Tokenizer.from_str(raw), bpe.Bpe(raw)
+    parts = ["th", "er", "ing", "on", "a", "é", "ß", "z", "Ж", "漢", "&&&", ",", "'s", "7", "<|endoftext|>", "́", "İ", "\n", " ", " ", "\x1c"]
+    texts = ["".join(draw.choice(parts, draw.integers(0, 200))) for _ in range(600)] + [t or "" for t in TEXTS]
+    for k in range(0, len(texts), 100):
+        ids = own.encode_all(texts[k : k + 100])
+        assert ids.to_pylist() == [e.ids for e in tk.encode_batch(texts[k : k + 100], add_special_tokens=False)]
+        assert own.decode_all(ids).to_pylist() == [own.decode(x) for x in ids.to_pylist()] == [tk.decode(x, skip_special_tokens=False) for x in ids.to_pylist()]
+
+
+def test_batches_of_every_code_point_like_the_library():
+    raw = open(PATH, encoding="utf-8").read()
+    tk, own = Tokenizer.from_str(raw), bpe.Bpe(raw)
+    texts = [f"a{chr(c)}b {chr(c)}. X{chr(c)}," for c in range(1, 0x33480) if not 0xD800 <= c <= 0xDFFF]
+    for k in range(0, len(texts), 4096):
+        for t, e, ids in zip(texts[k : k + 4096], tk.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False), own.encode_all(texts[k : k + 4096]).to_pylist(), strict=True):
+            assert ids == e.ids, ascii(t)
+
+
+def test_columns_and_scan_agree():
+    own, draw = bpe.Bpe(open(PATH, encoding="utf-8").read()), np.random.default_rng(8)
+    words = sorted({"".join(draw.choice(list("thernioaésß"), n)) for n in range(1, 70) for _ in range(60)})
+    ids, starts, sizes = own.words(words)
+    assert [ids[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [own.word(w) for w in words]
+
+
+def test_odd_ids_decode():
+    own = bpe.Bpe(open(PATH, encoding="utf-8").read())
+    lists = [None, [], [320, -1, 10**6, None, 49407], [None], [49406]]
+    assert own.decode_all(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [own.decode(x or []) for x in lists]
+    assert own.decode_all(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+
+
+def test_query_goes_to_python_once(spark):
+    """Ids that went to the JVM and on to another worker for decoding cost more than the encoding."""
+    out = bpe.digests(spark.createDataFrame([(1, "x")], "doc_id long, text string"), PATH)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_encode_and_decode_apart(spark):
+    docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    apart, once = bpe.decode(bpe.encode(docs, PATH), PATH), bpe.there_and_back(docs, PATH)
+    assert once.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(apart.drop("text").collect()) == sorted(once.collect())
