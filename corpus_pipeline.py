@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which run() writes as Parquet and
 reads again as the next one's docs. All but the last return the columns of their input: doc_id, text and whatever else there is;
 n_chars follows the text. An empty input gives an empty result in each stage.
+
+No task of a stage has two Python steps. Each would have a worker of its own; workers live on and take turns, so twice as many as there are cores
+would each hold the last stage's tokenizer and pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from talus.llm.common import shared, table, tidy
+from talus.llm.common import shared, table, tidy, written
 
 
 def _apart(docs: DataFrame) -> DataFrame:
@@ -38,8 +41,9 @@ def _back(df: DataFrame, docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as 1; it is trained on the labelled ones of its input that aren't held out."""
     docs = tidy(docs)
-    model = quality.train(quality.vectors(docs.select("doc_id", "text")), table(spark, sf_dir, "labels"))
-    return _back(quality.score(quality.vectors(_apart(docs)), model).filter("predicted = 1"), docs)
+    x = written(quality.vectors(docs.select("doc_id", "text")).drop("text"), "quality-x")
+    model = quality.train(x, table(spark, sf_dir, "labels"))
+    return _back(quality.score_texts(_apart(docs), model).filter("predicted = 1"), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,20 +126,31 @@ def fit(rows: DataFrame, shrink: float = SHRINK, diagonal: float = DIAGONAL) ->
     return Model(means, [np.linalg.inv(f) for f in lower], [float(np.log(np.diag(f)).sum()) for f in lower], float(np.log(n[1] / n[0])))
 
 
+def _scored(x: list[list[float]], model: Model) -> dict[str, list]:
+    s = model.scores(np.array(x, np.float64).reshape(-1, len(NAMES)))
+    return {"score": s.tolist(), "predicted": (s >= 0.5).astype(int).tolist()}
+
+
 def score(x: DataFrame, model: Model) -> DataFrame:
     """x: vectors(); with score and predicted."""
     shipped = x.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        def f(batch: pa.RecordBatch) -> dict[str, list]:
-            s = shipped.value.scores(np.array(batch.column(batch.schema.get_field_index("x")).to_pylist(), np.float64).reshape(-1, len(NAMES)))
-            return {"score": s.tolist(), "predicted": (s >= 0.5).astype(int).tolist()}
-
-        return f
+        return lambda batch: _scored(batch.column(batch.schema.get_field_index("x")).to_pylist(), shipped.value)
 
     return extend(x, make, "score double, predicted int", drop=("x",))
 
 
+def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score and predicted, those that score() gives for vectors(), in one pass: vectors don't go from one worker to another."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda batch: _scored([vector(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], shipped.value)
+
+    return extend(tidy(docs), make, "score double, predicted int")
+
+
 def train(x: DataFrame, labels: DataFrame) -> Model:
     """x: doc_id and x of documents; labels: doc_id and quality. Held-out rows are left out."""
     labels = tidy(labels).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).dropna().filter(~held_out(F.col("doc_id")))

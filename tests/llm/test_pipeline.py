@@ -55,3 +55,14 @@ def test_empty_input_and_clashing_columns(spark):
         assert stage(spark, docs.limit(0), D).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), D).count() == 0
     assert corpus_pipeline.STAGES[1][1](spark, docs, D).count() == 2
+
+
+def test_one_python_step_a_task(spark, monkeypatch):
+    """Two steps take two workers a core, which take turns later on; all of them then hold the tokenizer."""
+    from talus.llm import quality
+
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.append(rows) or fit(rows))
+    out = corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{D}/documents.parquet"), D)
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert steps(out) == 1 and [steps(rows) for rows in seen] == [0]  # fit() adds the one of its task

@@ -52,3 +52,13 @@ def test_held_out_accuracy(spark):
         pytest.skip("no test data")
     out = q.op8_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in out) / len(out) > 0.9
+
+
+def test_texts_score_like_their_vectors(spark):
+    docs = spark.createDataFrame([(i, GOOD[i:] * (i % 3), "a") for i in range(40)] + [(None, None, "b")], "doc_id long, text string, score string")
+    x = q.vectors(docs)
+    model = q.train(x, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    a, b = q.score(x, model), q.score_texts(docs, model)
+    assert a.columns == b.columns and len(model.means) == 2
+    for r, s in zip(sorted(a.collect(), key=str), sorted(b.collect(), key=str), strict=True):
+        assert (r.doc_id, r.text, r.predicted) == (s.doc_id, s.text, s.predicted) and abs(r.score - s.score) < 1e-12
